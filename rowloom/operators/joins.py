@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.guards import ROW, ParameterError, data_columns, present, quoted, require, require_batch
+from rowloom.operators.ordering import reindex, with_row_index
 
 _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
@@ -53,6 +54,26 @@ def join_on_keys(
     return joined.select(*out)
 
 
+def join_in_order(
+    df: DataFrame, source: DataFrame, left_keys: list[str], right_keys: list[str] | None = None, join_how: str = "inner"
+) -> DataFrame:
+    """:func:`join_on_keys` with a fresh row index when both sides have one.
+
+    Rows follow the left table, and within it the source; a right join follows
+    the source; an outer join follows the keys.
+    """
+    if ROW not in df.columns or ROW not in source.columns:
+        return join_on_keys(df, source, left_keys, right_keys, join_how)
+    keep = df.withColumn("__left", F.col(ROW)).drop(ROW)
+    joined = join_on_keys(keep, source.withColumn("__right", F.col(ROW)), left_keys, right_keys, join_how)
+    how = str(join_how).strip().lower()
+    if how == "outer":
+        order = [*left_keys, "__left", "__right"]
+        return with_row_index(joined, order).drop("__left", "__right")
+    first, then = ("__right", "__left") if how == "right" else ("__left", "__right")
+    return reindex(joined.withColumnRenamed(first, ROW), [then])
+
+
 def append(df: DataFrame, sources: list[DataFrame]) -> DataFrame:
     """Union by name; absent columns are NULL and clashing types become text."""
     if not sources:
