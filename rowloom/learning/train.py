@@ -189,7 +189,7 @@ def cross_validate(estimator, ready: DataFrame, problem: str, folds: int, seed:
         parallelism=2,
     )
     fitted = cv.fit(ready)
-    return {"cv_folds": folds, f"cv_mean_{score}": fitted.avgMetrics[0], f"cv_std_{score}": fitted.stdMetrics[0]}
+    return {"cv_folds": folds, f"cv_mean_{score}": float(fitted.avgMetrics[0]), f"cv_std_{score}": float(fitted.stdMetrics[0])}
 
 
 def _cluster(df: DataFrame, algorithm: str, estimator, names: list[str]) -> Trained:
