@@ -18,20 +18,28 @@ ROW = "_row_index"
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 FALSE_WORDS = ("false", "0", "no", "n", "f")
 
-# Texts that count as a number, and the blank characters of a text.
-NUMBER_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
-BLANK = r"[\s\u001c-\u001f\u0085  -     　 ]"
-
-# Time and date-time layouts tried in this order.
-TIME_FORMATS = ("H:mm", "H:mm:ss", "h:mm a", "h:mm:ss a")
-DATETIME_FORMATS = (
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
+# Texts that count as a number (blanks around it allowed), and the
+# blank characters of a text other than the space.
+NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+ODD_BLANKS = "\t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085  " + "".join(
+    chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+# Shapes of times and date-times, each with the layout that reads it.
+TIME_LAYOUTS = (
+    (r"^\d{1,2}:\d{2}$", "H:mm"),
+    (r"^\d{1,2}:\d{2}:\d{2}$", "H:mm:ss"),
+    (r"^\d{1,2}:\d{2} [AP]M$", "h:mm a"),
+    (r"^\d{1,2}:\d{2}:\d{2} [AP]M$", "h:mm:ss a"),
+)
+DATETIME_LAYOUTS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", "yyyy-M-d H:m"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "M/d/yyyy H:m:s"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "M/d/yyyy H:m"),
 )
 
 
@@ -100,12 +108,17 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(c, F.lit(" " + ODD_BLANKS))
+
+
+def squeeze(c: Column, ends: bool = True) -> Column:
+    """Blank runs as one space and, with ``ends``, none at the ends."""
+    spaced = F.regexp_replace(F.translate(c, ODD_BLANKS, " " * len(ODD_BLANKS)), "  +", " ")
+    return F.trim(spaced) if ends else spaced
 
 
 def text_to_number(c: Column) -> Column:
-    t = strip(c)
-    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -125,20 +138,31 @@ def text(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("string")
 
 
+def text_to_bool(token: Column) -> Column:
+    word = F.lower(token)
+    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+
+
 def parse_bool(df: DataFrame, name: str) -> Column:
-    t = type_of(df, name)
-    if isinstance(t, T.BooleanType):
+    if isinstance(type_of(df, name), T.BooleanType):
         return quoted(name)
-    token = F.lower(strip(quoted(name).cast("string")))
-    return F.when(token.isin(*TRUE_WORDS), F.lit(True)).when(token.isin(*FALSE_WORDS), F.lit(False))
+    return text_to_bool(strip(quoted(name).cast("string")))
+
+
+def _by_shape(token: Column, layouts: tuple[tuple[str, str], ...]) -> Column:
+    """Parse with the one layout whose shape fits, so that no row is tried on
+    layouts it must fail."""
+    (shape, layout), *rest = layouts
+    out = F.when(token.rlike(shape), F.try_to_timestamp(token, F.lit(layout)))
+    for shape, layout in rest:
+        out = out.when(token.rlike(shape), F.try_to_timestamp(token, F.lit(layout)))
+    return out
 
 
-def text_to_time(c: Column) -> Column:
+def text_to_time(c: Column, stripped: bool = False) -> Column:
     """``HH:mm:ss`` text of a 24-hour or AM/PM clock reading."""
-    token = F.upper(strip(c))
-    tries = [F.try_to_timestamp(token, F.lit(f)) for f in TIME_FORMATS]
-    clock = token.rlike(r"^\d{1,2}:\d{2}(:\d{2})?( (AM|PM))?$")
-    return F.when(clock, F.date_format(F.coalesce(*tries), "HH:mm:ss"))
+    token = F.upper(c if stripped else strip(c))
+    return F.date_format(_by_shape(token, TIME_LAYOUTS), "HH:mm:ss")
 
 
 def parse_time(df: DataFrame, name: str) -> Column:
@@ -147,12 +171,12 @@ def parse_time(df: DataFrame, name: str) -> Column:
     return text_to_time(quoted(name).cast("string"))
 
 
-def text_to_timestamp(c: Column) -> Column:
+def text_to_timestamp(c: Column, stripped: bool = False) -> Column:
     """ISO form first, then the fixed layouts; each row is read on its own."""
-    token = strip(c)
+    token = c if stripped else strip(c)
     iso = F.when(token.rlike(r"^\d{4}-\d{2}-\d{2}"), token.try_cast("timestamp_ntz"))
-    tries = [F.try_to_timestamp(token, F.lit(f)).cast("timestamp_ntz") for f in DATETIME_FORMATS]
-    return F.when(token.rlike(r"^\d"), F.coalesce(iso, *tries))
+    other = _by_shape(token, DATETIME_LAYOUTS).cast("timestamp_ntz")
+    return F.when(token.rlike(r"^\d{1,4}[-/]"), F.coalesce(iso, other))
 
 
 def timestamp(df: DataFrame, name: str) -> Column:
@@ -167,10 +191,11 @@ def timestamp(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
-def text_is_json(c: Column) -> Column:
+def text_is_json(c: Column, stripped: bool = False) -> Column:
     """True for text that opens with a brace or bracket and parses as JSON."""
-    token = strip(c)
-    return F.coalesce(token.rlike(r"^[\{\[]") & F.try_parse_json(token).isNotNull(), F.lit(False))
+    token = c if stripped else strip(c)
+    opens = F.substring(token, 1, 1).isin("{", "[")
+    return F.coalesce(opens & F.try_parse_json(token).isNotNull(), F.lit(False))
 
 
 def place_after(df: DataFrame, source: str, added: dict[str, Column]) -> DataFrame:

@@ -1,10 +1,15 @@
 """Exact quantiles with linear interpolation, for columns of any size.
 
-A column that fits one task is answered by Spark's exact ``percentile``.
-Beyond that size no task may hold all distinct values, so each wanted rank is
-bracketed by the mergeable ``percentile_approx`` sketch, the values inside the
-bracket are counted exactly, and the bracket is narrowed until the counts of
-its distinct values are few enough to list. The answer is exact either way.
+A column that surely fits one task is answered by Spark's exact
+``percentile``. Beyond that no task may hold all distinct values:
+
+* a few ranks are bracketed by the mergeable ``percentile_approx`` sketch, the
+  bracket is counted exactly and narrowed until the rank is pinned; every round
+  is one scan without a shuffle;
+* many ranks are read off a range-partitioned running count of the distinct
+  values, which costs one shuffle of them.
+
+The answer is the same on every way.
 """
 
 from __future__ import annotations
@@ -12,14 +17,15 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowloom.functions.guards import number, quoted
+from rowloom.functions.search import bounds_below
 
 DIRECT_ROWS = 2_000_000
-LISTED_VALUES = 200_000
+LISTED_VALUES = 100_000
 SKETCH_ACCURACY = 10_000
+BRACKETED_RANKS = 16
 
 
 def exact_quantiles(
@@ -42,74 +48,96 @@ def exact_quantiles(
         row = values.agg(*[F.percentile(F.col(n), probabilities).alias(n) for n in small]).first()
         found.update({n: list(row[n]) if row[n] is not None else [None] * len(probabilities) for n in small})
     for n in names:
-        if n not in found:
-            held = values.select(n).filter(F.col(n).isNotNull())
-            found[n] = _by_brackets(held, n, counts[n], probabilities, listed, accuracy)
+        if n in found:
+            continue
+        spans = [_span(p, counts[n]) for p in probabilities]
+        ranks = sorted({r for low, high, _ in spans for r in (low, high)})
+        held = values.select(F.col(n).alias("v")).filter("v is not null")
+        if len(ranks) <= BRACKETED_RANKS:
+            at = _bracketed(held, counts[n], ranks, listed, accuracy)
+        else:
+            at = _ranked(held, ranks)
+        found[n] = [at[low] + (at[high] - at[low]) * part for low, high, part in spans]
     return {c: found[n] for c, n in zip(columns, names)}
 
 
-def _by_brackets(values: DataFrame, v: str, n: int, probabilities: list[float], listed: int, accuracy: int):
-    spans = []
-    for p in probabilities:
-        at = p * (n - 1)
-        low = min(int(math.floor(at)), n - 1)
-        spans.append((low, min(low + 1, n - 1), at - low))
-    edges = values.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    brackets = [(edges["lo"], edges["hi"], 0, n)] * len(spans)
-    answers: list[float | None] = [None] * len(spans)
-    open_ = list(range(len(spans)))
-    while open_:
-        proposals = []
-        for i in open_:
-            lo, hi, below, inside = brackets[i]
-            first, last, _ = spans[i]
-            slack = 2.0 / accuracy
-            p_lo = max(0.0, (first - below) / max(1, inside) - slack)
-            p_hi = min(1.0, (last + 1 - below) / max(1, inside) + slack)
-            member = F.when((F.col(v) >= lo) & (F.col(v) <= hi), F.col(v))
-            proposals.append(F.percentile_approx(member, [p_lo, p_hi], accuracy).alias(f"b{i}"))
-        sketch = values.agg(*proposals).first()
+def _span(p: float, n: int) -> tuple[int, int, float]:
+    """The two ranks a quantile lies between, and how far."""
+    at = p * (n - 1)
+    low = min(int(math.floor(at)), n - 1)
+    return low, min(low + 1, n - 1), at - low
+
+
+def _ranked(values: DataFrame, ranks: list[int]) -> dict[int, float]:
+    from rowloom.operators.ordering import running_total
+
+    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+    placed = running_total(counted, "n", ["v"], "before")
+    marks = [float(r) for r in ranks]
+    placed = bounds_below(placed, "before", marks, "lo")
+    placed = bounds_below(placed.withColumn("end", F.col("before") + F.col("n")), "end", marks, "hi")
+    hits = placed.filter(F.col("hi") > F.col("lo")).select("v", "lo", "hi").collect()
+    return {ranks[i]: float(h["v"]) for h in hits for i in range(int(h["lo"]), int(h["hi"]))}
+
+
+def _bracketed(values: DataFrame, n: int, ranks: list[int], listed: int, accuracy: int) -> dict[int, float]:
+    """Pin every rank. A bracket is an open interval with the exact number of
+    values up to and inside it; its two ends are tested and left out each round,
+    so it shrinks even where single values hold much of the column."""
+    inf = float("inf")
+    brackets = {r: (-inf, inf, 0, n) for r in ranks}
+    slack = {r: 2.0 / accuracy for r in ranks}
+    answers: dict[int, float] = {}
+    v = F.col("v")
+    while len(answers) < len(ranks):
+        todo = [r for r in ranks if r not in answers]
+        short = [r for r in todo if brackets[r][3] <= listed]
+        if short:
+            answers.update(_listed(values, {r: brackets[r] for r in short}))
+            continue
+        sketches = []
+        for r in todo:
+            lo, hi, below, inside = brackets[r]
+            at = (r - below) / inside
+            span = [max(0.0, at - slack[r]), min(1.0, at + 1.0 / inside + slack[r])]
+            sketches.append(F.percentile_approx(F.when((v > lo) & (v < hi), v), span, accuracy).alias(f"b{r}"))
+        sketch = values.agg(*sketches).first()
         checks = []
-        for i in open_:
-            lo, hi = sketch[f"b{i}"]
-            checks.append(F.count(F.when(F.col(v) < lo, 1)).alias(f"u{i}"))
-            checks.append(F.count(F.when((F.col(v) >= lo) & (F.col(v) <= hi), 1)).alias(f"m{i}"))
+        for r in todo:
+            lo, hi = sketch[f"b{r}"]
+            tests = {"u": v < lo, "l": v == lo, "m": (v > lo) & (v < hi), "h": v == hi}
+            checks += [F.count(F.when(t, 1)).alias(f"{k}{r}") for k, t in tests.items()]
         tally = values.agg(*checks).first()
-        listing = []
-        for i in open_:
-            lo, hi = sketch[f"b{i}"]
-            below, inside = tally[f"u{i}"], tally[f"m{i}"]
-            first, last, _ = spans[i]
-            holds = below <= first and last < below + inside
-            shrinks = inside < brackets[i][3]
-            if holds:
-                brackets[i] = (lo, hi, below, inside)
-            if lo == hi and holds:
-                answers[i] = lo
-            elif not (holds and shrinks) or inside <= listed:
-                listing.append(i)
-        for i in listing:
-            answers[i] = _from_listing(values, v, brackets[i], spans[i])
-        open_ = [i for i in open_ if answers[i] is None]
+        for r in todo:
+            lo, hi = sketch[f"b{r}"]
+            under, low, mid = tally[f"u{r}"], tally[f"l{r}"], tally[f"m{r}"]
+            if under <= r < under + low:
+                answers[r] = lo
+            elif under + low <= r < under + low + mid:
+                brackets[r] = (lo, hi, under + low, mid)
+            elif lo < hi and under + low + mid <= r < under + low + mid + tally[f"h{r}"]:
+                answers[r] = hi
+            else:
+                slack[r] = min(1.0, slack[r] * 8)
     return answers
 
 
-def _from_listing(values: DataFrame, v: str, bracket, span):
-    """Read the two wanted ranks off the counted distinct values of a bracket.
-
-    The running count is a window over distinct values; it is reached only for
-    brackets whose number of rows, or of distinct values, can shrink no more.
-    """
-    lo, hi, below, _ = bracket
-    first, last, part = span
-    held = values.filter((F.col(v) >= lo) & (F.col(v) <= hi)).groupBy(v).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy(v).rowsBetween(W.unboundedPreceding, 0)) + F.lit(below)
-    ranked = held.select(v, upto.alias("upto"))
-    row = ranked.agg(
-        F.min(F.when(F.col("upto") > first, F.col(v))).alias("a"),
-        F.min(F.when(F.col("upto") > last, F.col(v))).alias("b"),
-    ).first()
-    return row["a"] + (row["b"] - row["a"]) * part
+def _listed(values: DataFrame, brackets: dict[int, tuple]) -> dict[int, float]:
+    """Read ranks off the counted values of short brackets, in one job."""
+    v = F.col("v")
+    spans = sorted({b for b in brackets.values()})
+    marks = [F.when((v > lo) & (v < hi), F.lit(i)) for i, (lo, hi, _, _) in enumerate(spans)]
+    tagged = values.select("v", F.explode(F.array_compact(F.array(*marks))).alias("b"))
+    rows = tagged.groupBy("b", "v").agg(F.count("*").alias("n")).collect()
+    out = {}
+    for r, span in brackets.items():
+        seen = span[2]
+        for row in sorted((x for x in rows if spans[x["b"]] == span), key=lambda x: x["v"]):
+            seen += row["n"]
+            if r < seen:
+                out[r] = row["v"]
+                break
+    return out
 
 
 def grouped_quantile(
@@ -127,32 +155,25 @@ def grouped_quantile(
     """
     from rowloom.operators.ordering import running_total
 
+    names = [quoted(k) for k in keys]
     counted = (
-        df.select(*[quoted(k) for k in keys], value.alias("__v"))
-        .filter(F.col("__v").isNotNull())
-        .groupBy(*[quoted(k) for k in keys], "__v")
-        .agg(F.count("*").alias("__n"))
+        df.select(*names, value.alias("__v")).filter("__v is not null").groupBy(*names, "__v").agg(F.count("*").alias("__n"))
     )
     ranked = running_total(counted, "__n", [*keys, "__v"], "__before")
-    groups = ranked.groupBy(*[quoted(k) for k in keys]).agg(
-        F.min("__before").alias("__start"), F.sum("__n").alias("__total")
-    )
-    renamed = groups.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start", "__total")
-    same = None
+    groups = ranked.groupBy(*names).agg(F.min("__before").alias("__start"), F.sum("__n").alias("__total"))
+    side = groups.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__start", "__total")
+    same = F.lit(True)
     for i, k in enumerate(keys):
-        test = quoted(k).eqNullSafe(F.col(f"__k{i}"))
-        same = test if same is None else same & test
+        same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
     at = F.lit(float(probability)) * (F.col("__total") - 1)
     low = F.floor(at).cast("long")
     begin = F.col("__before") - F.col("__start")
-    end = begin + F.col("__n")
 
     def holds(rank: Column) -> Column:
-        return (begin <= rank) & (rank < end)
+        return (begin <= rank) & (rank < begin + F.col("__n"))
 
     high = F.least(low + 1, F.col("__total") - 1)
-    hits = ranked.join(renamed, same).filter(holds(low) | holds(high))
+    hits = ranked.join(side, same).filter(holds(low) | holds(high))
     a = F.max(F.when(holds(low), F.col("__v")))
     b = F.max(F.when(holds(high), F.col("__v")))
-    part = F.max(at - low)
-    return hits.groupBy(*[quoted(k) for k in keys]).agg((a + (b - a) * part).alias(into))
+    return hits.groupBy(*names).agg((a + (b - a) * F.max(at - low)).alias(into))

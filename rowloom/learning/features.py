@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -74,28 +76,36 @@ def clean_target(df: DataFrame, target: str, problem: str) -> DataFrame:
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: str | None = None):
     """Repeatable train and test parts of exact size, per class if asked.
 
-    Rows are ranked by a hash of their content along a range-partitioned
-    running count, so no class is gathered in one task. The ranked table is
-    written once and both parts read it.
+    Rows are placed by a hash of their content, and the hash below which the
+    wanted share lies is found first (per class: from a narrow running count of
+    class and hash). Both parts are then plain filters of the table, so full
+    rows are neither sorted nor shuffled.
     """
     if not 0 < test_size < 1:
         raise ParameterError("test_size must lie between 0 and 1")
     plain = [c for c in df.columns if type_of(df, c).typeName() not in {"map", "variant", "udt"}]
     identity = [ROW] if ROW in df.columns else plain
-    keyed = df.withColumn("__h", F.xxhash64(F.lit(int(seed)), *[quoted(c) for c in identity])).withColumn("__one", F.lit(1))
-    keys = [stratify] if stratify else []
-    ranked = running_total(keyed, "__one", [*keys, "__h"], "__rank").drop("__one")
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *[quoted(c) for c in identity]), 11)
+    keyed = df.withColumn("__h", hashed)
     if stratify:
-        starts = ranked.groupBy(quoted(stratify).alias("__k")).agg(
-            F.min("__rank").alias("__start"), F.count("*").alias("__n")
+        narrow = keyed.select(quoted(stratify).alias("__k"), "__h").groupBy("__k", "__h").agg(F.count("*").alias("__n"))
+        ranked = running_total(narrow, "__n", ["__k", "__h"], "__before")
+        classes = ranked.groupBy("__k").agg(F.min("__before").alias("__start"), F.sum("__n").alias("__all"))
+        same = ranked["__k"].eqNullSafe(F.col("__c"))
+        sized = ranked.join(classes.withColumnRenamed("__k", "__c"), same)
+        wanted = F.round(F.col("__all") * F.lit(float(test_size)))
+        limits = (
+            sized.filter(F.col("__before") - F.col("__start") < wanted)
+            .groupBy("__c")
+            .agg(F.max("__h").alias("__limit"))
         )
-        ranked = ranked.join(starts, quoted(stratify).eqNullSafe(F.col("__k")), "left").drop("__k")
-        is_test = F.col("__rank") - F.col("__start") < F.round(F.col("__n") * F.lit(float(test_size)))
-        train, test = ranked.filter(~is_test), ranked.filter(is_test)
-        extra = ["__h", "__rank", "__start", "__n"]
+        if limits.count() > MAX_CATEGORIES:
+            raise ParameterError(f"{stratify!r} has over {MAX_CATEGORIES} classes")
+        marked = keyed.join(F.broadcast(limits), quoted(stratify).eqNullSafe(F.col("__c")), "left")
+        is_test = F.coalesce(F.col("__h") <= F.col("__limit"), F.lit(False))
     else:
-        rows = ranked.count()
-        cut = -(-int(round(rows * test_size * 1_000_000)) // 1_000_000)
-        train, test = ranked.filter(F.col("__rank") >= cut), ranked.filter(F.col("__rank") < cut)
-        extra = ["__h", "__rank"]
-    return train.drop(*extra), test.drop(*extra)
+        rows = df.count()
+        held_out = max(1, min(rows - 1, math.ceil(rows * test_size - 1e-9)))
+        at = (held_out - 0.5) / max(1, rows - 1)
+        marked, is_test = keyed, F.col("__h") <= F.lit(exact_quantiles(keyed, ["__h"], [at])["__h"][0])
+    return marked.filter(~is_test).select(*df.columns), marked.filter(is_test).select(*df.columns)

@@ -74,7 +74,7 @@ def group_aggregate(
     small = True
     if any(func == "median" for _, func in wanted.values()):
         limit = DIRECT_ROWS if direct_rows is None else direct_rows
-        small = df.limit(limit + 1).count() <= limit
+        small = df.count() <= limit
     for alias, (column, func) in wanted.items():
         if func != "median":
             one_pass.append(table[func](column).alias(alias))
@@ -155,7 +155,7 @@ def rollup_by_dimensions(
     labelled = df.withColumn("label", F.concat_ws(" | ", *parts))
     if metric_function == "median" and metric_column:
         limit = DIRECT_ROWS if direct_rows is None else direct_rows
-        if df.limit(limit + 1).count() > limit:
+        if df.count() > limit:
             base = labelled.select("label").distinct()
             medians = grouped_quantile(labelled, ["label"], _metric_value(labelled, metric_column), 0.5, "value")
             return _attach(base, medians, ["label"], "value").select("label", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -220,7 +220,7 @@ def hierarchical_rollup(
         raise ParameterError("dimensions are required")
     named = df.withColumns({f"__d{i}": _as_label(df, d) for i, d in enumerate(dims)})
     keys = [f"__d{i}" for i in range(len(dims))]
-    if metric_function == "median" and metric_column and df.limit(DIRECT_ROWS + 1).count() > DIRECT_ROWS:
+    if metric_function == "median" and metric_column and df.count() > DIRECT_ROWS:
         median = grouped_quantile(named, keys, _metric_value(named, metric_column), 0.5, "size")
         leaves = _attach(named.select(*keys).distinct(), median, keys, "size").select(
             *keys, F.coalesce("size", F.lit(0.0)).alias("size")

@@ -14,7 +14,7 @@ from typing import Any
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +31,7 @@ from rowloom.functions.guards import (
     type_of,
 )
 from rowloom.functions.quantiles import exact_quantiles
+from rowloom.functions.search import bounds_below
 
 CELLS = 1_024
 LABEL_DIGITS = 3
@@ -82,7 +83,14 @@ def equal_width_edges(df: DataFrame, column: str, bins: int) -> list[float]:
 
 
 def _distinct_upto(df: DataFrame, value: Column, most: int) -> int:
-    return df.select(value.alias("v")).filter("v is not null").distinct().limit(most).count()
+    """Distinct values, counted up to ``most``.
+
+    A sketch settles columns with far more values without shuffling them.
+    """
+    held = df.select(value.alias("v")).filter("v is not null")
+    if held.agg(F.approx_count_distinct("v", 0.02).alias("u")).first()["u"] > 2 * most + 100:
+        return most
+    return min(most, held.distinct().count())
 
 
 def equal_frequency_edges(df: DataFrame, column: str, bins: int) -> list[float]:
@@ -103,18 +111,6 @@ def kmeans_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     return [-INF, *[(a + b) / 2.0 for a, b in zip(centres, centres[1:])], INF]
 
 
-def bounds_below(df: DataFrame, value: str, bounds: list[float], into: str) -> DataFrame:
-    """Add how many of the sorted ``bounds`` lie below the value.
-
-    ``Bucketizer`` searches left-closed ranges, so it is run on negated numbers
-    to get right-closed ones.
-    """
-    splits = [-INF, *[-b for b in reversed(bounds)], INF]
-    negated = df.withColumn("__neg", -F.col(value))
-    found = Bucketizer(splits=splits, inputCol="__neg", outputCol="__at").transform(negated)
-    return found.withColumn(into, F.lit(float(len(bounds))) - F.col("__at")).drop("__neg", "__at")
-
-
 def cell_ids(df: DataFrame, v: Column, limit: int = CELLS) -> DataFrame:
     """Rows with a value ``v`` and its ``cell``, an increasing function of it.
 

@@ -21,8 +21,9 @@ from rowloom.functions.guards import (
     require_free,
     type_of,
 )
+from rowloom.functions.search import bounds_below
 from rowloom.functions.stats import kurt, skew
-from rowloom.operators.binning import bounds_below, cell_ids
+from rowloom.operators.binning import cell_ids
 from rowloom.operators.ordering import over_row_frames, require_index, running_total
 from rowloom.operators.skew import lookup
 
@@ -235,7 +236,7 @@ def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int
     cells = pairs.filter("b is not null").groupBy("lag", "a", "b").agg(F.count("*").alias("n"))
     size = max(1, len(levels))
 
-    def score(key, part: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         tau, p, n = _kendall_from_cells(part, size)
         return pd.DataFrame({"lag": [int(key[0])], "tau": [tau], "pvalue": [p], "pairs": [n]})
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions.guards import (
-    BLANK,
     NUMBER_PATTERN,
     ROW,
     ParameterError,
@@ -23,6 +22,7 @@ from rowloom.functions.guards import (
     quoted,
     require,
     require_batch,
+    squeeze,
     strip,
     text,
     text_to_number,
@@ -37,43 +37,58 @@ from rowloom.operators.ordering import reindex, require_index, with_row_index
 NULL_WORDS = ("", "null", "none", "na", "n/a", "nan")
 
 
+def _plain_text(c: Column, opts: dict[str, bool]) -> Column:
+    if opts["trim_whitespace"] and opts["collapse_whitespace"]:
+        c = squeeze(c)
+    elif opts["trim_whitespace"]:
+        c = strip(c)
+    elif opts["collapse_whitespace"]:
+        c = squeeze(c, ends=False)
+    return c if opts["case_sensitive"] else F.lower(c)
+
+
+def _known(c: Column, opts: dict[str, bool]) -> Column:
+    return F.when(~c.isin(*NULL_WORDS), c) if opts["normalize_null_tokens"] else c
+
+
 def _canonical(c: Column, t: T.DataType, opts: dict[str, bool]) -> Column:
+    """Canonical form of a value; texts at the top level are finished later."""
     if isinstance(t, T.StringType):
-        if opts["trim_whitespace"]:
-            c = strip(c)
-        if opts["collapse_whitespace"]:
-            c = F.regexp_replace(c, f"{BLANK}+", " ")
-        if not opts["case_sensitive"]:
-            c = F.lower(c)
-        return F.when(~c.isin(*NULL_WORDS), c) if opts["normalize_null_tokens"] else c
+        return _plain_text(c, opts)
     if is_floating(t):
         return F.when(~F.isnan(c), c)
     if isinstance(t, T.ArrayType):
-        return F.transform(c, lambda x: _canonical(x, t.elementType, opts))
+        return F.transform(c, lambda x: _nested(x, t.elementType, opts))
     if isinstance(t, T.StructType):
-        return F.when(
-            c.isNotNull(), F.struct(*[_canonical(c[f.name], f.dataType, opts).alias(f.name) for f in t.fields])
-        )
+        return F.when(c.isNotNull(), F.struct(*[_nested(c[f.name], f.dataType, opts).alias(f.name) for f in t.fields]))
     if isinstance(t, T.MapType):
         entries = F.array_sort(F.map_entries(c))
         return F.transform(
-            entries,
-            lambda e: F.struct(e["key"].alias("k"), _canonical(e["value"], t.valueType, opts).alias("v")),
+            entries, lambda e: F.struct(e["key"].alias("k"), _nested(e["value"], t.valueType, opts).alias("v"))
         )
     return c
 
 
-def dedup_key(
+def _nested(c: Column, t: T.DataType, opts: dict[str, bool]) -> Column:
+    out = _canonical(c, t, opts)
+    return _known(out, opts) if isinstance(t, T.StringType) else out
+
+
+def with_dedup_key(
     df: DataFrame,
-    subset: list[str] | None = None,
+    into: str,
+    subset: list[str],
+    keep: list[Column],
     case_sensitive: bool = False,
     trim_whitespace: bool = True,
     collapse_whitespace: bool = True,
     normalize_null_tokens: bool = True,
-) -> Column:
-    """SHA-256 of the canonical form of the chosen columns.
+) -> DataFrame:
+    """``keep`` columns and the SHA-256 of the canonical form of ``subset``.
 
     The digest keeps the shuffle at 64 bytes a row however long the texts are.
+    The text clean-up stands in a projection of its own, so that it runs once
+    although its result is used twice.
     """
     opts = {
         "case_sensitive": case_sensitive,
@@ -81,9 +96,16 @@ def dedup_key(
         "collapse_whitespace": collapse_whitespace,
         "normalize_null_tokens": normalize_null_tokens,
     }
-    chosen = subset or data_columns(df)
-    fields = [_canonical(quoted(c), type_of(df, c), opts).alias(f"c{i}") for i, c in enumerate(chosen)]
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+    cleaned = df.select(
+        *[k.alias(f"__p{i}") for i, k in enumerate(keep)],
+        *[_canonical(quoted(c), type_of(df, c), opts).alias(f"c{i}") for i, c in enumerate(subset)],
+    )
+    fields = []
+    for i, c in enumerate(subset):
+        plain = F.col(f"c{i}")
+        fields.append((_known(plain, opts) if isinstance(type_of(df, c), T.StringType) else plain).alias(f"c{i}"))
+    digest = F.sha2(F.to_json(F.struct(*fields)), 256)
+    return cleaned.select(*[F.col(f"__p{i}") for i in range(len(keep))], digest.alias(into))
 
 
 def drop_duplicates(
@@ -108,10 +130,9 @@ def drop_duplicates(
     for c in order:
         require(df, c, "order column")
     token = str(keep).strip().lower() if keep is not None else "first"
-    place = F.struct(*[quoted(c) for c in order])
     scope = subset or [c for c in data_columns(df) if c not in order or not order_by]
-    keyed = df.select(dedup_key(df, scope, **canonical).alias("__key"), place.alias("__at"))
-    groups = keyed.groupBy("__key")
+    keyed = with_dedup_key(df, "__key", scope, [F.struct(*[quoted(c) for c in order])], **canonical)
+    groups = keyed.withColumnRenamed("__p0", "__at").groupBy("__key")
     if token == "last":
         kept = groups.agg(F.max("__at").alias("__at"))
     elif token in {"false", "none", "drop_all"}:

@@ -377,7 +377,8 @@ for _name, (_method, _column, _params, _sql) in _SCALES.items():
 def _f9_sql():
     return f"""
       WITH n AS (SELECT count(b) AS n FROM {BALANCES}),
-           refs AS (SELECT i, quantile_cont(b, i / 99.0) AS q FROM {BALANCES}, range(0, 100) s(i) GROUP BY i),
+           refs AS (SELECT unnest(range(0, 100)) AS i,
+                    unnest((SELECT quantile_cont(b, {[i / 99.0 for i in range(100)]}) FROM {BALANCES})) AS q),
            placed AS (SELECT c_custkey, b, (SELECT max(i) FROM refs WHERE q <= b) AS lo, (SELECT min(i) FROM refs WHERE q >= b) AS hi
                       FROM {BALANCES})
       SELECT c_custkey, CASE WHEN b IS NULL THEN NULL WHEN hi <= lo THEN round((lo + hi) / 2.0 / 99, 6)
@@ -385,7 +386,7 @@ def _f9_sql():
       FROM placed LEFT JOIN refs a ON a.i = lo LEFT JOIN refs c ON c.i = hi"""
 
 
-@query("f9_quantile_transform")
+@query("f9_quantile_transform", _f9_sql())
 def f9(t):
     c = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 13 != 0, F.col("c_acctbal")).alias("b"))
     return scaling.scale(c, "quantile_transform", "b", n_quantiles=100).select("c_custkey", r6("b_quantile").alias("b_quantile"))

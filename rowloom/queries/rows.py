@@ -45,12 +45,11 @@ def c1_last(t):
 
 @query(
     "c1_drop_duplicates_none",
-    """SELECT event_id, user_id FROM events
-       QUALIFY count(*) OVER (PARTITION BY event_type, user_id) = 1""",
+    """SELECT event_id, value FROM events QUALIFY count(*) OVER (PARTITION BY event_type, value) = 1""",
 )
 def c1_none(t):
-    out = rows.drop_duplicates(t("events"), ["event_type", "user_id"], "none", order_by=["event_id"])
-    return out.select("event_id", "user_id")
+    out = rows.drop_duplicates(t("events"), ["event_type", "value"], "none", order_by=["event_id"])
+    return out.select("event_id", "value")
 
 
 @query(

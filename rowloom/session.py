@@ -13,10 +13,17 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
 
 
-def build_session(master: str | None = None, app_name: str = "rowloom", **conf: str) -> SparkSession:
+PARTITION_BYTES = 256 << 20
+
+
+def build_session(
+    master: str | None = None, app_name: str = "rowloom", data_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings every operator is written for.
 
-    Cluster sizing (partitions, memory) is left to the caller through ``conf``.
+    ``data_bytes``, the size of the largest table, sets the number of shuffle
+    partitions (256 MiB each); AQE merges them where less data arrives. Memory
+    and cores are left to the caller through ``conf``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -29,6 +36,8 @@ def build_session(master: str | None = None, app_name: str = "rowloom", **conf:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     }
+    if data_bytes:
+        settings["spark.sql.shuffle.partitions"] = str(max(200, min(200_000, data_bytes // PARTITION_BYTES)))
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)

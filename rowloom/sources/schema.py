@@ -24,6 +24,7 @@ from rowloom.functions.guards import (
     strip,
     text,
     text_is_json,
+    text_to_bool,
     text_to_number,
     text_to_time,
     text_to_timestamp,
@@ -77,20 +78,20 @@ def _share(test: Column) -> Column:
     return F.count(F.when(test, 1))
 
 
-def _probes(df: DataFrame, name: str) -> dict[str, Column]:
-    """Counts from which the type of a text column is decided."""
+def _probes(df: DataFrame, name: str, token: Column) -> dict[str, Column]:
+    """Counts from which the type of a text column is decided; ``token`` is
+    the text without blanks around it."""
     base = {"missing": F.count(F.when(missing(df, name), 1))}
     if not isinstance(type_of(df, name), T.StringType):
         return base
-    token = strip(quoted(name))
     value = text_to_number(token)
     return base | {
-        "bools": F.count(parse_bool(df, name)),
+        "bools": F.count(text_to_bool(token)),
         "numbers": F.count(value),
         "wholes": _share(value == F.floor(value)),
-        "moments": F.count(text_to_timestamp(token)),
-        "times": F.count(text_to_time(token)),
-        "jsons": _share(text_is_json(token)),
+        "moments": F.count(text_to_timestamp(token, stripped=True)),
+        "times": F.count(text_to_time(token, stripped=True)),
+        "jsons": _share(text_is_json(token, stripped=True)),
         "uuids": _share(token.rlike(UUID_PATTERN)),
     }
 
@@ -153,9 +154,12 @@ def infer_schema(df: DataFrame, exact: bool = True, samples: bool = True) -> lis
     is drawn from those two rows.
     """
     names = data_columns(df)
-    probes = {c: _probes(df, c) for c in names}
+    texts = [c for c in names if isinstance(type_of(df, c), T.StringType)]
+    tokens = {c: f"__token{i}" for i, c in enumerate(texts)}
+    stripped = df.withColumns({t: strip(quoted(c)) for c, t in tokens.items()}) if texts else df
+    probes = {c: _probes(df, c, F.col(tokens[c]) if c in tokens else quoted(c)) for c in names}
     flat = [p.alias(f"{k}_{i}") for i, c in enumerate(names) for k, p in probes[c].items()]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *flat).first().asDict()
+    row = stripped.agg(F.count(F.lit(1)).alias("rows"), *flat).first().asDict()
     unique = distinct_counts(df, names, exact)
     firsts = _first_values(df, names) if samples else {c: [] for c in names}
     out = []

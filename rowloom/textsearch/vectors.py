@@ -95,7 +95,7 @@ def nearest(
         return queries.sparkSession.createDataFrame([], _OUT)
     width = max(1, len(first[0]["vec"]))
     most = max(1, held_cells // width)
-    q_rows = q.limit(most + 1).count()
+    q_rows = q.count()
     if q_rows <= most:
         ids, held = _held(q)
 
@@ -112,7 +112,7 @@ def nearest(
 
         found = b.mapInPandas(scan, _OUT)
         return _merge(found, k)
-    b_rows = b.limit(most + 1).count()
+    b_rows = b.count()
     if b_rows <= most:
         ids, held = _held(b)
 
@@ -123,13 +123,12 @@ def nearest(
 
         return q.mapInPandas(probe, _OUT)
     per_block = max(1, block_cells // width)
-    n_base = b.count()
-    packed_b = _blocks(b, per_block, n_base, "b").withColumn("no", F.monotonically_increasing_id())
+    packed_b = _blocks(b, per_block, b_rows, "b").withColumn("no", F.monotonically_increasing_id())
     from rowloom.session import materialize
 
     packed_b = materialize(packed_b)
     numbers = [r["no"] for r in packed_b.select("no").collect()]
-    packed_q = _blocks(q, per_block, q.count(), "q").withColumn("no", F.explode(F.lit(numbers)))
+    packed_q = _blocks(q, per_block, q_rows, "q").withColumn("no", F.explode(F.lit(numbers)))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
