@@ -344,7 +344,8 @@ def add_row(df: DataFrame, row_data: dict[str, Any], insert_index: int | str | N
     unknown = [k for k in row_data if k not in df.columns]
     if unknown:
         raise ParameterError(f"unknown columns: {', '.join(unknown)}")
-    size = (df.agg(F.max(ROW)).first()[0] or -1) + 1
+    last = df.agg(F.max(ROW)).first()[0]
+    size = 0 if last is None else last + 1
     if insert_index in (None, ""):
         at = size
     else:

@@ -33,7 +33,8 @@ def test_dedup_texts(spark):
     assert values(rows.drop_duplicates(df, ["name"]), "_row_index") == [0, 3, 5]
     assert values(rows.drop_duplicates(df, ["name"], "last"), "_row_index") == [2, 7, 8]
     assert values(rows.drop_duplicates(df, ["name"], "none"), "_row_index") == []
-    assert values(rows.drop_duplicates(df, ["name"], case_sensitive=True), "_row_index") == [0, 1, 2, 3, 5]
+    # with case kept, "N/A" is no null word, while "" and NULL still match
+    assert values(rows.drop_duplicates(df, ["name"], case_sensitive=True), "_row_index") == [0, 1, 2, 3, 5, 6]
 
 
 def test_dedup_nested(spark):
