@@ -16,6 +16,7 @@ from rowloom.operators.ordering import running_total
 
 MAX_CATEGORIES = 10_000
 LEAST_ROWS = 10
+HASH_DIRECT_ROWS = 50_000  # hashes are all distinct, so a sketch pays off early
 
 
 def _sql(name: str) -> str:
@@ -107,5 +108,5 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: str |
         rows = df.count()
         held_out = max(1, min(rows - 1, math.ceil(rows * test_size - 1e-9)))
         at = (held_out - 0.5) / max(1, rows - 1)
-        marked, is_test = keyed, F.col("__h") <= F.lit(exact_quantiles(keyed, ["__h"], [at])["__h"][0])
+        marked, is_test = keyed, F.col("__h") <= F.lit(exact_quantiles(keyed, ["__h"], [at], HASH_DIRECT_ROWS)["__h"][0])
     return marked.filter(~is_test).select(*df.columns), marked.filter(is_test).select(*df.columns)

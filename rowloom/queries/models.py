@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.learning import metrics, neighbours, train
+from rowloom.learning.dbscan import dbscan
 from rowloom.learning.features import split
 from rowloom.operators.ordering import with_row_index
 from rowloom.plans.recipe import History, Recipe
@@ -99,6 +100,13 @@ _clusters("l11_kmeans", "kmeans", 4)
 _clusters("l13_agglomerative", "agglomerative", 4)
 
 
+@query("l12_dbscan")
+def l12(t):
+    """Density clusters of part size and price; checked against brute force in the tests."""
+    p = t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") / 20).alias("price"))
+    return dbscan(p, ["size", "price"], "p_partkey", 1.5, 4).select(F.col("id").alias("p_partkey"), "cluster", "core")
+
+
 @query("l14_cross_validation")
 def l14(t):
     li = t("lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")

@@ -35,6 +35,8 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        # Wide aggregates: methods the JVM will not compile run slower than plain operators.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if data_bytes:
         settings["spark.sql.shuffle.partitions"] = str(max(200, min(200_000, data_bytes // PARTITION_BYTES)))

@@ -178,3 +178,42 @@ def test_stream_runs_row_steps(spark, table, tmp_path):
         Recipe.of(("fill_missing", {"strategy": "ffill"})).apply(stream)
     with pytest.raises(ParameterError):
         Recipe.of(("stats_std", {"column": "value"})).apply(stream)
+
+
+def brute_dbscan(ids, points, eps, least):
+    near = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
+    root = {i: i for i in range(len(ids)) if core[i]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in root:
+        for j in np.flatnonzero(near[i] & core):
+            a, b = find(i), find(int(j))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    order = {r: k for k, r in enumerate(sorted({find(i) for i in root}))}
+    out = []
+    for i in range(len(ids)):
+        if core[i]:
+            out.append(order[find(i)])
+        else:
+            reach = [order[find(int(j))] for j in np.flatnonzero(near[i] & core)]
+            out.append(min(reach) if reach else -1)
+    return dict(zip(ids, out))
+
+
+@pytest.mark.parametrize(("dims", "eps", "least"), [(2, 0.35, 5), (2, 1.2, 8), (1, 0.05, 4), (3, 0.8, 5)])
+def test_dbscan_matches_brute_force(spark, dims, eps, least):
+    from rowloom.learning.dbscan import dbscan
+
+    rng = np.random.default_rng(dims)
+    points = np.concatenate([rng.normal(c, 0.6, (120, dims)) for c in (0, 3, 6)] + [rng.uniform(-3, 9, (60, dims)), np.zeros((40, dims))])
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    names = [f"p{i}" for i in range(dims)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: r["cluster"] for r in dbscan(df, names, "id", eps, least).collect()}
+    assert got == brute_dbscan(list(range(len(points))), points, eps, least)
