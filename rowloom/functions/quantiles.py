@@ -26,6 +26,7 @@ DIRECT_ROWS = 2_000_000
 LISTED_VALUES = 100_000
 SKETCH_ACCURACY = 10_000
 BRACKETED_RANKS = 16
+COLUMNS_PER_SCAN = 16
 
 
 def exact_quantiles(
@@ -47,17 +48,20 @@ def exact_quantiles(
     if small:
         row = values.agg(*[F.percentile(F.col(n), probabilities).alias(n) for n in small]).first()
         found.update({n: list(row[n]) if row[n] is not None else [None] * len(probabilities) for n in small})
-    for n in names:
-        if n in found:
-            continue
-        spans = [_span(p, counts[n]) for p in probabilities]
-        ranks = sorted({r for low, high, _ in spans for r in (low, high)})
-        held = values.select(F.col(n).alias("v")).filter("v is not null")
-        if len(ranks) <= BRACKETED_RANKS:
-            at = _bracketed(held, counts[n], ranks, listed, accuracy)
-        else:
-            at = _ranked(held, ranks)
-        found[n] = [at[low] + (at[high] - at[low]) * part for low, high, part in spans]
+    big = [n for n in names if n not in found]
+    spans = {n: [_span(p, counts[n]) for p in probabilities] for n in big}
+    ranks = {n: sorted({r for low, high, _ in spans[n] for r in (low, high)}) for n in big}
+    at: dict[tuple[str, int], float] = {}
+    few = [n for n in big if len(ranks[n]) <= BRACKETED_RANKS]
+    for start in range(0, len(few), COLUMNS_PER_SCAN):
+        part = few[start : start + COLUMNS_PER_SCAN]
+        wanted = {(n, r): counts[n] for n in part for r in ranks[n]}
+        at.update(_bracketed(values.select(*part), wanted, listed, accuracy))
+    for n in big:
+        if n not in few:
+            held = values.select(F.col(n).alias("v")).filter("v is not null")
+            at.update({(n, r): v for r, v in _ranked(held, ranks[n]).items()})
+        found[n] = [at[n, low] + (at[n, high] - at[n, low]) * share for low, high, share in spans[n]]
     return {c: found[n] for c, n in zip(columns, names)}
 
 
@@ -80,62 +84,77 @@ def _ranked(values: DataFrame, ranks: list[int]) -> dict[int, float]:
     return {ranks[i]: float(h["v"]) for h in hits for i in range(int(h["lo"]), int(h["hi"]))}
 
 
-def _bracketed(values: DataFrame, n: int, ranks: list[int], listed: int, accuracy: int) -> dict[int, float]:
-    """Pin every rank. A bracket is an open interval with the exact number of
-    values up to and inside it; its two ends are tested and left out each round,
-    so it shrinks even where single values hold much of the column."""
+def _bracketed(
+    values: DataFrame, wanted: dict[tuple[str, int], int], listed: int, accuracy: int
+) -> dict[tuple[str, int], float]:
+    """Pin (column, rank) pairs, given the number of values of each column.
+
+    A bracket is an open interval with the exact number of values up to and
+    inside it. Each round tests its two ends and leaves them out, so it shrinks
+    even where single values hold much of the column. All columns share the
+    scans of a round.
+    """
     inf = float("inf")
-    brackets = {r: (-inf, inf, 0, n) for r in ranks}
-    slack = {r: 2.0 / accuracy for r in ranks}
-    answers: dict[int, float] = {}
-    v = F.col("v")
-    while len(answers) < len(ranks):
-        todo = [r for r in ranks if r not in answers]
-        short = [r for r in todo if brackets[r][3] <= listed]
+    brackets = {k: (-inf, inf, 0, n) for k, n in wanted.items()}
+    slack = dict.fromkeys(wanted, 2.0 / accuracy)
+    answers: dict[tuple[str, int], float] = {}
+
+    def within(key: tuple[str, int]) -> Column:
+        lo, hi, _, _ = brackets[key]
+        return (F.col(key[0]) > lo) & (F.col(key[0]) < hi)
+
+    while len(answers) < len(wanted):
+        todo = [k for k in wanted if k not in answers]
+        short = [k for k in todo if brackets[k][3] <= listed]
         if short:
-            answers.update(_listed(values, {r: brackets[r] for r in short}))
+            answers.update(_listed(values, {k: brackets[k] for k in short}))
             continue
         sketches = []
-        for r in todo:
-            lo, hi, below, inside = brackets[r]
-            at = (r - below) / inside
-            span = [max(0.0, at - slack[r]), min(1.0, at + 1.0 / inside + slack[r])]
-            sketches.append(F.percentile_approx(F.when((v > lo) & (v < hi), v), span, accuracy).alias(f"b{r}"))
+        for i, k in enumerate(todo):
+            _, _, below, inside = brackets[k]
+            at = (k[1] - below) / inside
+            span = [max(0.0, at - slack[k]), min(1.0, at + 1.0 / inside + slack[k])]
+            sketches.append(F.percentile_approx(F.when(within(k), F.col(k[0])), span, accuracy).alias(f"b{i}"))
         sketch = values.agg(*sketches).first()
         checks = []
-        for r in todo:
-            lo, hi = sketch[f"b{r}"]
+        for i, k in enumerate(todo):
+            (lo, hi), v = sketch[f"b{i}"], F.col(k[0])
             tests = {"u": v < lo, "l": v == lo, "m": (v > lo) & (v < hi), "h": v == hi}
-            checks += [F.count(F.when(t, 1)).alias(f"{k}{r}") for k, t in tests.items()]
+            checks += [F.count(F.when(t, 1)).alias(f"{name}{i}") for name, t in tests.items()]
         tally = values.agg(*checks).first()
-        for r in todo:
-            lo, hi = sketch[f"b{r}"]
-            under, low, mid = tally[f"u{r}"], tally[f"l{r}"], tally[f"m{r}"]
-            if under <= r < under + low:
-                answers[r] = lo
-            elif under + low <= r < under + low + mid:
-                brackets[r] = (lo, hi, under + low, mid)
-            elif lo < hi and under + low + mid <= r < under + low + mid + tally[f"h{r}"]:
-                answers[r] = hi
+        for i, k in enumerate(todo):
+            (lo, hi), rank = sketch[f"b{i}"], k[1]
+            low_end = tally[f"u{i}"] + tally[f"l{i}"]
+            high_end = low_end + tally[f"m{i}"]
+            if tally[f"u{i}"] <= rank < low_end:
+                answers[k] = lo
+            elif low_end <= rank < high_end:
+                brackets[k] = (lo, hi, low_end, tally[f"m{i}"])
+            elif lo < hi and high_end <= rank < high_end + tally[f"h{i}"]:
+                answers[k] = hi
             else:
-                slack[r] = min(1.0, slack[r] * 8)
+                slack[k] = min(1.0, slack[k] * 8)
     return answers
 
 
-def _listed(values: DataFrame, brackets: dict[int, tuple]) -> dict[int, float]:
+def _listed(values: DataFrame, brackets: dict[tuple[str, int], tuple]) -> dict[tuple[str, int], float]:
     """Read ranks off the counted values of short brackets, in one job."""
-    v = F.col("v")
-    spans = sorted({b for b in brackets.values()})
-    marks = [F.when((v > lo) & (v < hi), F.lit(i)) for i, (lo, hi, _, _) in enumerate(spans)]
-    tagged = values.select("v", F.explode(F.array_compact(F.array(*marks))).alias("b"))
-    rows = tagged.groupBy("b", "v").agg(F.count("*").alias("n")).collect()
+    spans = sorted({(k[0], *b) for k, b in brackets.items()})
+    marks = [
+        F.when((F.col(n) > lo) & (F.col(n) < hi), F.struct(F.lit(i).alias("b"), F.col(n).alias("v")))
+        for i, (n, lo, hi, _, _) in enumerate(spans)
+    ]
+    tagged = values.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.b", "m.v")
+    held: dict[int, list] = {}
+    for row in tagged.groupBy("b", "v").agg(F.count("*").alias("n")).collect():
+        held.setdefault(row["b"], []).append((row["v"], row["n"]))
     out = {}
-    for r, span in brackets.items():
-        seen = span[2]
-        for row in sorted((x for x in rows if spans[x["b"]] == span), key=lambda x: x["v"]):
-            seen += row["n"]
-            if r < seen:
-                out[r] = row["v"]
+    for k, bracket in brackets.items():
+        seen = bracket[2]
+        for v, n in sorted(held[spans.index((k[0], *bracket))]):
+            seen += n
+            if k[1] < seen:
+                out[k] = v
                 break
     return out
 

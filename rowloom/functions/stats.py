@@ -35,6 +35,3 @@ def kurt(v: Column, over: Wrap = _plain, constant: float = 0.0) -> Column:
     flat = over(F.min(v)) == over(F.max(v))
     return F.when(n >= 4, F.when(flat, F.lit(constant)).otherwise(factor * ((n + 1) * g2 + 6)))
 
-
-def half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)

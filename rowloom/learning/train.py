@@ -154,7 +154,7 @@ def train(
         stages = [fitted, *stages]
     estimator = build(params or {}, n, classes)
     prepared = Pipeline(stages=stages).fit(train_rows)
-    ready = prepared.transform(train_rows).select("features", "label")
+    ready = prepared.transform(spread(train_rows)).select("features", "label")
     fit = estimator.fit(ready)
     model = PipelineModel(stages=[s for s in prepared.stages if s is not (fitted if classes else None)] + [fit])
     labelled = prepared.stages[0].transform(test_rows) if classes else test_rows
@@ -176,6 +176,15 @@ def train(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of few partitions out to all cores before many passes.
+
+    A large table has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cross_validate(estimator, ready: DataFrame, problem: str, folds: int, seed: int = 42) -> dict[str, Any]:
     """Mean and spread of r2 or accuracy over the folds."""
     score = "r2" if problem == "regression" else "accuracy"
@@ -192,7 +201,7 @@ def cross_validate(estimator, ready: DataFrame, problem: str, folds: int, seed:
 
 def _cluster(df: DataFrame, algorithm: str, estimator, names: list[str]) -> Trained:
     prepared = feature_pipeline(df, names).fit(df)
-    ready = prepared.transform(df)
+    ready = prepared.transform(spread(df))
     fit = estimator.fit(ready.select("features"))
     predictions = fit.transform(ready)
     found = predictions.select("prediction").distinct().count()

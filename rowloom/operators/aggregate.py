@@ -47,6 +47,7 @@ def group_aggregate(
 ) -> DataFrame:
     """One row per key, NULL keys kept. Entries that name an unknown column or
     function are skipped; aliases default to ``{column}_{func}``."""
+    require_batch(df, "group_aggregate")
     keys = [k.strip() for k in group_by.split(",")] if isinstance(group_by, str) else [str(k).strip() for k in group_by or []]
     keys = [k for k in keys if k]
     if not keys:
@@ -146,6 +147,7 @@ def rollup_by_dimensions(
     direct_rows: int | None = None,
 ) -> DataFrame:
     """``label, value`` over the whole table; labels join dimensions by bars."""
+    require_batch(df, "a roll-up")
     dims = [d for d in dimensions or [] if d]
     if not dims:
         raise ParameterError("dimensions are required")
@@ -215,6 +217,7 @@ def hierarchical_rollup(
     children, whatever the metric. Rows are grouped once; each upper level
     sums the level below it. Only the greatest roots and their branches stay.
     """
+    require_batch(df, "a roll-up")
     dims = [d for d in dimensions or [] if d]
     if not dims:
         raise ParameterError("dimensions are required")

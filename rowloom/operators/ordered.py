@@ -15,7 +15,6 @@ from rowloom.functions.guards import (
     number,
     place_after,
     present,
-    quoted,
     require,
     require_batch,
     require_free,

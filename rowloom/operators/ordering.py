@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.guards import ROW, ParameterError, quoted, require_batch
 from rowloom.session import materialize
 
-BUCKET_ROWS = 1 << 14
+BUCKET_ROWS = 1 << 12
 MAX_BUCKETS = 100_000
 _POS, _PART, _BUCKET, _OFFSET = "__pos", "__part", "__bucket", "__offset"
 

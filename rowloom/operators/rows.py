@@ -15,9 +15,9 @@ from rowloom.functions.guards import (
     ParameterError,
     data_columns,
     is_floating,
+    is_time_point,
     missing,
     number,
-    parse_bool,
     present,
     quoted,
     require,
@@ -25,6 +25,7 @@ from rowloom.functions.guards import (
     squeeze,
     strip,
     text,
+    text_to_bool,
     text_to_number,
     text_to_timestamp,
     timestamp,
@@ -130,7 +131,7 @@ def drop_duplicates(
     for c in order:
         require(df, c, "order column")
     token = str(keep).strip().lower() if keep is not None else "first"
-    scope = subset or [c for c in data_columns(df) if c not in order or not order_by]
+    scope = subset or data_columns(df)
     keyed = with_dedup_key(df, "__key", scope, [F.struct(*[quoted(c) for c in order])], **canonical)
     groups = keyed.withColumnRenamed("__p0", "__at").groupBy("__key")
     if token == "last":
@@ -315,25 +316,15 @@ def duplicate_rows(df: DataFrame, row_indices: list[int]) -> DataFrame:
     return reindex(df.withColumn("__copy", F.explode(copies)), ["__copy"])
 
 
-def _typed_literal(df: DataFrame, name: str, value: Any) -> Column:
-    t = type_of(df, name)
-    if value is None or value == "":
-        return F.lit(None).cast(t)
-    raw = F.lit(str(value))
+def _as_type(raw: Column, t: T.DataType) -> tuple[Column, str | None]:
+    """A text parameter in a column's type, and what a bad one fails to be."""
     if isinstance(t, T.NumericType):
-        out, kind = text_to_number(raw).cast(t), "numeric"
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        out, kind = text_to_timestamp(raw).cast(t), "datetime"
-    elif isinstance(t, T.BooleanType):
-        probe = df.sparkSession.range(1).select(raw.alias("b"))
-        out, kind = parse_bool(probe, "b"), "boolean"
-        got = probe.select(out.alias("b")).first()["b"]
-        out = F.lit(got)
-    else:
-        return raw.cast(t) if isinstance(t, T.StringType) else F.lit(value).cast(t)
-    if df.sparkSession.range(1).select(out.alias("x")).first()["x"] is None:
-        raise ParameterError(f"column {name!r} expects a {kind} value")
-    return out
+        return text_to_number(raw).try_cast(t), "numeric"
+    if is_time_point(t):
+        return text_to_timestamp(raw).cast(t), "datetime"
+    if isinstance(t, T.BooleanType):
+        return text_to_bool(strip(raw)), "boolean"
+    return raw.try_cast(t), None
 
 
 def add_row(df: DataFrame, row_data: dict[str, Any], insert_index: int | str | None = None) -> DataFrame:
@@ -353,9 +344,15 @@ def add_row(df: DataFrame, row_data: dict[str, Any], insert_index: int | str | N
         if not token.lstrip("-").isdigit():
             raise ParameterError("insert_index must be an integer")
         at = max(0, min(int(token), size))
-    fresh = {c: _typed_literal(df, c, row_data.get(c)) for c in data_columns(df)}
+    given = {c: None if row_data.get(c) in (None, "") else str(row_data[c]) for c in data_columns(df)}
+    typed = {c: _as_type(F.lit(v), type_of(df, c)) for c, v in given.items()}
+    fresh = {c: value.cast(type_of(df, c)) for c, (value, _) in typed.items()}
     fresh[ROW] = F.lit(at).cast("long")
     one = df.sparkSession.range(1).select(*[fresh[c].alias(c) for c in df.columns])
+    row = one.first()
+    for c, (_, kind) in typed.items():
+        if kind and given[c] is not None and row[c] is None:
+            raise ParameterError(f"column {c!r} expects a {kind} value")
     moved = df.withColumn(ROW, F.when(F.col(ROW) >= at, F.col(ROW) + 1).otherwise(F.col(ROW)))
     return moved.unionByName(one)
 
@@ -399,19 +396,7 @@ def update_cells(df: DataFrame, updates: list[dict[str, Any]] | DataFrame) -> Da
             out.append(quoted(c))
             continue
         cell = F.col(f"__u{touched.index(c)}")
-        probe = cell["value"]
-        t = type_of(df, c)
-        if isinstance(t, T.NumericType):
-            fresh = text_to_number(probe).cast(t)
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            fresh = text_to_timestamp(probe).cast(t)
-        elif isinstance(t, T.BooleanType):
-            token = F.lower(strip(probe))
-            fresh = F.when(token.isin("true", "1", "yes", "y", "t"), True).when(
-                token.isin("false", "0", "no", "n", "f"), False
-            )
-        else:
-            fresh = probe.cast(t)
+        fresh, _ = _as_type(cell["value"], type_of(df, c))
         out.append(F.when(cell.isNotNull(), fresh).otherwise(quoted(c)).alias(c))
     return joined.select(*out)
 

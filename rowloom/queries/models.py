@@ -391,15 +391,11 @@ def n3(t):
     plan = {
         "name": "loose",
         "steps": [
-            {"op": "delete_rows_condition", "arguments": {"column": "#User ID", "operator": None, "condition": "==", "value": "7"}},
+            {"op": "delete_rows_condition", "arguments": {"column": "#User ID", "condition": "==", "value": "7"}},
             {"operation": "normalize_text_case", "params": {"case": "upper"}, "description": "the event type in upper case"},
             {"operation": "column_shift", "params": {"column": "VALUE", "new_name": "before"}},
         ],
     }
-    for s in plan["steps"]:
-        for k in ("params", "arguments"):
-            if s.get(k):
-                s[k].pop("operator", None)
     e = with_row_index(t("events"), ["ts"])
     return Recipe.from_dict(plan).enrich(e).apply(e).select("event_id", "event_type", "before")
 

@@ -33,6 +33,7 @@ from rowloom.functions.guards import (
 )
 
 SAMPLES = 5
+SAMPLE_HEAD = 200
 UUID_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 NAME_LIMIT = 55
 RESERVED = ("_row_id", "_row_index")
@@ -182,9 +183,16 @@ def infer_schema(df: DataFrame, exact: bool = True, samples: bool = True) -> lis
 
 
 def _first_values(df: DataFrame, names: list[str]) -> dict[str, list[Any]]:
+    """First present values of each column.
+
+    A short head of the table answers most columns; only one that is missing
+    there is looked up on its own.
+    """
     order = [ROW] if ROW in df.columns else []
-    out = {}
-    for c in names:
+    top = df.filter(F.col(ROW) < SAMPLE_HEAD).orderBy(ROW) if order else df.limit(SAMPLE_HEAD)
+    rows = top.select(*[present(df, c).alias(c) for c in names]).collect()
+    out = {c: [r[i] for r in rows if r[i] is not None][:SAMPLES] for i, c in enumerate(names)}
+    for c in [c for c in names if len(out[c]) < SAMPLES and len(rows) >= SAMPLE_HEAD]:
         held = df.filter(~missing(df, c))
         out[c] = [r[0] for r in (held.orderBy(*order) if order else held).select(quoted(c)).limit(SAMPLES).collect()]
     return out
