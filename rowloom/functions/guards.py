@@ -57,6 +57,15 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """Columns in a form that hashes: maps and variants as JSON text."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        out.append(F.to_json(F.struct(quoted(f.name))) if "map<" in kind or "variant" in kind else quoted(f.name))
+    return out
+
+
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.guards import ROW, ParameterError, is_number, number, quoted, require, text, type_of
+from rowloom.functions.guards import ROW, ParameterError, hashable, is_number, number, quoted, require, text, type_of
 from rowloom.functions.quantiles import exact_quantiles
 from rowloom.operators.columns import smallest_mode
 from rowloom.operators.ordering import running_total
@@ -84,9 +84,8 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: str |
     """
     if not 0 < test_size < 1:
         raise ParameterError("test_size must lie between 0 and 1")
-    plain = [c for c in df.columns if type_of(df, c).typeName() not in {"map", "variant", "udt"}]
-    identity = [ROW] if ROW in df.columns else plain
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *[quoted(c) for c in identity]), 11)
+    identity = [quoted(ROW)] if ROW in df.columns else hashable(df)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *identity), 11)
     keyed = df.withColumn("__h", hashed)
     if stratify:
         narrow = keyed.select(quoted(stratify).alias("__k"), "__h").groupBy("__k", "__h").agg(F.count("*").alias("__n"))

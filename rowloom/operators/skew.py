@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.guards import quoted
+from rowloom.functions.guards import hashable, quoted
 
 HOT_SHARE = 1_000
 BROADCAST_ROWS = 500_000
@@ -30,7 +30,7 @@ def lookup(df: DataFrame, key: str, table: DataFrame, added: list[str], weight:
         quoted(key).alias("__k"), F.lit(0).alias("__s"), *[quoted(c) for c in added]
     )
     marked = df.join(F.broadcast(hot), quoted(key) == F.col("__h"), "left")
-    spread = 1 + F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SALTS)).cast("int")
+    spread = 1 + F.pmod(F.xxhash64(*hashable(df)), F.lit(SALTS)).cast("int")
     apart = F.col("__h").isNotNull() | quoted(key).isNull()
     salted = marked.withColumn("__t", F.when(apart, spread).otherwise(F.lit(0)))
     salted = salted.withColumn("__j", F.when(quoted(key).isNotNull(), quoted(key)))

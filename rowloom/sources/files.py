@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.functions.guards import ROW, quoted
+from rowloom.functions.guards import ROW, hashable, quoted
 from rowloom.sources.schema import coerce_to_schema, infer_schema
 
 # Cell texts read as missing.
@@ -66,6 +66,6 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def table_hash(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table: row count and sum of row hashes."""
-    columns = sorted(c for c in df.columns if c != ROW)
-    h = F.xxhash64(*[quoted(c) for c in columns])
+    named = df.select(*[quoted(c) for c in sorted(df.columns) if c != ROW])
+    h = F.xxhash64(*hashable(named))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash"))
