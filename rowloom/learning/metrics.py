@@ -7,9 +7,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.guards import number, quoted
+from rowloom.functions.guards import ParameterError, number, quoted
 
 POINTS = 200
+MAX_PLOT_POINTS = 10_000
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", features: int = 1) -> DataFrame:
@@ -74,7 +75,10 @@ def residual_points(df: DataFrame, order_by: list[str], label: str = "label", pr
 
 def qq_points(residuals: DataFrame) -> DataFrame:
     """Residuals of a plot (a few hundred) against normal quantiles."""
-    values = sorted(r["residual"] for r in residuals.select("residual").collect() if r["residual"] is not None)
+    held = residuals.select("residual").filter("residual is not null")
+    if held.count() > MAX_PLOT_POINTS:
+        raise ParameterError(f"a plot takes at most {MAX_PLOT_POINTS} points: use residual_points first")
+    values = sorted(r["residual"] for r in held.collect())
     n = len(values)
     ddl = "theoretical double, sample double"
     if n < 3:

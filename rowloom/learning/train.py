@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.guards import ParameterError, data_columns, is_number, number, quoted, require, type_of
-from rowloom.learning.features import clean_target, feature_pipeline, split
+from rowloom.learning.features import MAX_CATEGORIES, clean_target, feature_pipeline, split
 from rowloom.learning.metrics import classification_metrics, davies_bouldin, regression_metrics
 
 TREE_DEPTH_LIMIT = 30
@@ -146,6 +146,9 @@ def train(
     stages = list(feature_pipeline(train_rows, names).getStages())
     classes = 0
     if problem == "classification":
+        found = held.agg(F.approx_count_distinct("__class").alias("n")).first()["n"]
+        if found > MAX_CATEGORIES:
+            raise ParameterError(f"the target has over {MAX_CATEGORIES} classes")
         indexer = StringIndexer(inputCol="__class", outputCol="label", handleInvalid="error", stringOrderType="alphabetAsc")
         fitted = indexer.fit(held.select("__class"))
         classes = len(fitted.labels)

@@ -180,6 +180,12 @@ def _classes(df: DataFrame, target: str, as_bins: bool) -> tuple[DataFrame, bool
     return df.withColumn("y", text(df, target) if few else number(df, target)), few
 
 
+def _check_classes(marked: DataFrame, target: str) -> None:
+    """Class counts are listed on the driver, so their number is checked."""
+    if _distinct_upto(marked, F.col("y"), CELLS + 1) > CELLS:
+        raise ParameterError(f"target {target!r} has over {CELLS} classes")
+
+
 def tree_edges(df: DataFrame, column: str, target: str, bins: int, criterion: str | None = None, as_bins: bool = False):
     """Thresholds of a best-first tree on one feature.
 
@@ -191,11 +197,9 @@ def tree_edges(df: DataFrame, column: str, target: str, bins: int, criterion: st
     cells = cell_ids(marked.filter(F.col("y").isNotNull()), number(df, column))
     if classify:
         grouped = cells.groupBy("cell", "y").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        per_class = grouped.groupBy("y").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(CELLS + 1).collect()
-        if len(per_class) > CELLS:
-            raise ParameterError(f"target {target!r} has over {CELLS} classes")
+        _check_classes(marked, target)
         rows = grouped.collect()
-        names = {y: i for i, y in enumerate(sorted(r["y"] for r in per_class))}
+        names = {y: i for i, y in enumerate(sorted({r["y"] for r in rows}))}
         order = sorted({r["cell"] for r in rows})
         at = {c: i for i, c in enumerate(order)}
         table = np.zeros((len(order), len(names)))
@@ -261,6 +265,7 @@ def chimerge_edges(df: DataFrame, column: str, target: str, bins: int) -> list[f
     require(df, target, "target_column")
     marked, _ = _classes(df, target, as_bins=True)
     held = marked.withColumn("v", number(df, column)).filter("v is not null and y is not null")
+    _check_classes(held, target)
     start = min(50, bins * 5, max(2, _distinct_upto(held, F.col("v"), 50)))
     edges = sorted(set(exact_quantiles(held, ["v"], np.linspace(0.0, 1.0, start + 1).tolist())["v"]))
     if len(edges) < 3:
