@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import suffixarray, suffixtree
+from rowloom.llm import bpe, chat, langid, mixing, quality, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -23,6 +23,67 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file; the package is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_language_id")
+def op1(table):
+    docs = table("documents")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    fitted = langid.learn(docs.where(F.coalesce(part != 2, F.lit(True))), part == 3)
+    found = langid.identify(docs, fitted)
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query("op3_bpe_encode")
+def op3(table):
+    out = bpe.encode_documents(table("documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_quality_rules")
+def op4(table):
+    return quality.judge(table("documents")).drop("distance")
+
+
+@query("op7_mix_sources")
+def op7(table):
+    return mixing.mix(table("documents")).drop("copies")
+
+
+@query("op8_exact_top_k")
+def op8(table):
+    rows = table("embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
+@query("op9_chat_format")
+def op9(table):
+    rows = table("conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = rows.sparkSession.createDataFrame([(-1, i, r, tricky) for i, r in enumerate(("user", "assistant"))], rows.schema)
+    rows = rows.unionByName(own)
+    node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.select(F.col("conv_id").alias("conv"), node.alias("node"), "role", "text")
+    thread = rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    done = chat.format_conversations(thread)
+    done = done.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op5_substring_dedup")
 def op5(table):
     out = suffixtree.dedupe_passages(table("documents"))

@@ -13,12 +13,12 @@ is shuffled, not one for each window:
 5. the answer is joined to all copies and cut out of the documents.
 
 No step holds all rows of a key: copies are counted by partial aggregates,
-joins on hot anchors are left to AQE, and groups are bounded.
+joins on hot anchors have two plain shuffles below them, which AQE can split,
+and groups are bounded.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -86,16 +86,16 @@ def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
 def candidates(docs: DataFrame, unit: Unit) -> DataFrame:
     """The runs whose anchor occurs at least twice."""
     runs = materialize(runs_of(docs, unit))
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     return materialize(runs.join(often, "anchor", "left_semi"))
 
 
 def distinct_snippets(found: DataFrame) -> DataFrame:
     """Each snippet once, with its copies, one place, and the number of snippets of its anchor."""
-    distinct = found.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "width")).alias("at")
+    distinct = materialize(
+        found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "width")).alias("at"))
     )
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("members"))
+    sizes = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("members")))
     return materialize(distinct.join(sizes, "anchor"))
 
 
@@ -250,6 +250,3 @@ def cut_documents(rows: DataFrame, unit: Unit) -> DataFrame:
 
     return rows.mapInArrow(work, f"id {kind}, n_units bigint, n_removed bigint, n_spans bigint, kept binary")
 
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
