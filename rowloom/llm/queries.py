@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, chat, langid, mixing, quality, suffixarray, suffixtree, topk
+from rowloom.llm import bpe, chat, jaccard, langid, mixing, quality, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op4(table):
     return quality.judge(table("documents")).drop("distance")
 
 
+@query("op6_jaccard_join")
+def op6(table):
+    return jaccard.near_duplicates(table("documents"))
+
+
 @query("op7_mix_sources")
 def op7(table):
     return mixing.mix(table("documents")).drop("copies")
