@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, chat, jaccard, langid, mixing, quality, suffixarray, suffixtree, topk
+from rowloom.llm import bpe, chat, htmltree, jaccard, langid, mixing, quality, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op1(table):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+@query("op2_html_main_text")
+def op2(table):
+    out = htmltree.extract_main_text(table("pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_bpe_encode")
 def op3(table):
     out = bpe.encode_documents(table("documents"), tokenizer_path())
