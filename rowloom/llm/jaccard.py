@@ -157,11 +157,12 @@ def postings(docs: DataFrame, counters: np.ndarray, size: int, percent: int) ->
                 n = at[1:] - at[:-1]
                 row = np.repeat(np.arange(len(n)), n)
                 often = counts[_bucket(h, bits)].astype(np.float64)
-                # Shingles of usual counters are ordered by hash alone; above, by powers of the square root of two.
-                rank = np.clip(np.ceil(2 * np.log2(np.maximum(often, 1) / (2 * usual))), 0, 31).astype(np.uint64)
-                order = np.argsort(rank << np.uint64(59) | h >> np.uint64(5), kind="stable")
+                # By the counter first: a shingle that k documents share stands k higher than its counter's other ones.
+                rank = counts[_bucket(h, bits)].astype(np.uint64)
+                order = np.argsort(rank << np.uint64(48) | h >> np.uint64(16), kind="stable")
                 order = order[np.argsort(row[order].astype(np.int32), kind="stable")]
-                expected = 1.0 + np.maximum(often[order] - usual, 0)
+                often = rank[order].astype(np.float64)
+                expected = 1.0 + np.maximum(often - usual, 0)
                 scanned = np.concatenate([[0], np.cumsum(expected)])
                 pos = np.arange(len(row)) - at[:-1][row]
                 least = need(n, percent)
