@@ -189,7 +189,7 @@ def dull_branches(pages: DataFrame) -> DataFrame:
     counts = rows.groupBy("host", "path", "leaf", "value").agg(F.count("*").alias("n"))
     share = F.col("n") * F.log2(F.col("n").cast("double"))
     nodes = counts.groupBy("host", "path", "leaf").agg(F.sum("n").alias("m"), F.sum(share).alias("s"))
-    entropy = F.when(F.col("m") > 1, (F.log2("m") - F.col("s") / F.col("m")) / F.log2("m")).otherwise(1.0)
+    entropy = F.coalesce(F.try_divide(F.log2("m") - F.try_divide("s", "m"), F.log2("m")), F.lit(1.0))
     nodes = nodes.withColumn("entropy", entropy).where(F.col("m") >= LEAST_PAGES)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

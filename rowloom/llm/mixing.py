@@ -32,7 +32,7 @@ def size_of(text: Column) -> Column:
 
 def quality_of(text: Column, size: Column) -> Column:
     """Weight of a document: half if its words are unusually short or long, else one."""
-    mean = F.char_length(text) / size
+    mean = F.try_divide(F.char_length(text), size)
     return F.when(mean.between(3, 12), 1.0).otherwise(0.5)
 
 
@@ -77,7 +77,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     first = F.first("open_level", ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.least(F.col("limit"), F.coalesce(first * F.col("weight"), F.col("limit")))
     out = ranked.withColumn("target", target)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     out = out.withColumn("epochs", epochs).withColumn("left_over", F.col("target") - F.col("epochs") * F.col("source_size"))
     return out.select(*_BY, "source_size", "target", "epochs", "left_over")
 

@@ -77,8 +77,9 @@ def test_model_probabilities_add_up():
     letters = sorted({int(x) for x in grams[:, -1]})
     context = grams[5]
     options = np.array([[*context[1:], c] for c in letters], np.uint32)
-    total = (2.0 ** -model.cost(options)).sum()
-    assert total == pytest.approx(1 - model.cost(np.array([[*context[1:], 0x4E00]], np.uint32))[0] * 0 - 2.0 ** -model.cost(np.array([[*context[1:], 0x4E00]], np.uint32))[0], abs=1e-4)
+    unseen = 2.0 ** -model.cost(np.array([[*context[1:], 0x4E00]], np.uint32))[0]
+    total = (2.0 ** -model.cost(options)).sum() + unseen * (model.letters - len(letters))
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def page(body, extra=""):
