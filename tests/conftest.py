@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ def spark():
     from rowloom import build_session
 
     session = build_session(
-        "local[8]", "tests", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "local[8]", "tests", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="rowloom-tests-"), "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
