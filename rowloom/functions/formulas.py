@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from rowloom.functions.guards import ParameterError, present, require_batch
 from rowloom.functions.quantiles import exact_quantiles
 
+
+def whole(rounding, c: Column) -> Column:
+    """Floor or ceiling as a double; a double of 2**53 or more is whole already and may not fit a long."""
+    c = c.cast("double")
+    return F.when(F.abs(c) >= float(1 << 53), c).otherwise(rounding(c).cast("double"))
+
+
 _ELEMENTWISE = {
     "sin": F.sin,
     "cos": F.cos,
@@ -37,8 +44,8 @@ _ELEMENTWISE = {
     "log1p": lambda c: F.when(c > -1, F.log1p(c)),
     "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)),
     "abs": F.abs,
-    "floor": lambda c: F.floor(c).cast("double"),
-    "ceil": lambda c: F.ceil(c).cast("double"),
+    "floor": lambda c: whole(F.floor, c),
+    "ceil": lambda c: whole(F.ceil, c),
     "arctan2": F.atan2,
 }
 _REDUCTIONS = {
@@ -101,7 +108,8 @@ class _Formula:
         a, b = self.build(node.left), self.build(node.right)
         op = type(node.op)
         if op is ast.Add:
-            return a + b
+            both = self.df.select(a.alias("a"), b.alias("b")).schema.fields
+            return F.concat(a, b) if all(f.dataType.typeName() == "string" for f in both) else a + b
         if op is ast.Sub:
             return a - b
         if op is ast.Mult:
@@ -109,10 +117,10 @@ class _Formula:
         if op is ast.Div:
             return F.try_divide(a.cast("double"), b.cast("double"))
         if op is ast.FloorDiv:
-            return F.floor(F.try_divide(a.cast("double"), b.cast("double"))).cast("double")
+            return whole(F.floor, F.try_divide(a.cast("double"), b.cast("double")))
         if op is ast.Mod:
             x, y = a.cast("double"), b.cast("double")
-            return x - y * F.floor(F.try_divide(x, y))
+            return x - y * whole(F.floor, F.try_divide(x, y))
         if op is ast.Pow:
             return F.pow(a.cast("double"), b.cast("double"))
         if op is ast.BitAnd:

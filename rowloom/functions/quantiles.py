@@ -95,9 +95,16 @@ def _bracketed(
     scans of a round.
     """
     inf = float("inf")
-    brackets = {k: (-inf, inf, 0, n) for k, n in wanted.items()}
+    names = sorted({c for c, _ in wanted})
+    counts = [F.count(F.when(F.col(c) == v, 1)).alias(f"{side}{i}") for i, c in enumerate(names) for side, v in (("low", -inf), ("top", inf))]
+    ends = values.agg(*counts).first()
+    brackets, answers = {}, {}
+    for k, n in wanted.items():
+        low, top = (ends[f"{side}{names.index(k[0])}"] for side in ("low", "top"))
+        if k[1] < low or k[1] >= n - top:
+            answers[k] = -inf if k[1] < low else inf
+        brackets[k] = (-inf, inf, low, n - low - top)
     slack = dict.fromkeys(wanted, 2.0 / accuracy)
-    answers: dict[tuple[str, int], float] = {}
 
     def within(key: tuple[str, int]) -> Column:
         lo, hi, _, _ = brackets[key]
@@ -133,6 +140,8 @@ def _bracketed(
             elif lo < hi and high_end <= rank < high_end + tally[f"h{i}"]:
                 answers[k] = hi
             else:
+                if slack[k] >= 1.0:
+                    raise RuntimeError(f"rank {k[1]} of {k[0]} is not among its values")
                 slack[k] = min(1.0, slack[k] * 8)
     return answers
 

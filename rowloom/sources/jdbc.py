@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.guards import ParameterError
 
-TABLE_ROWS = 500_000
-QUERY_ROWS = 200_000
 FETCH_ROWS = 1_000
 
 # A table name that needs no quoting, and words of a query that change data.
@@ -54,7 +52,7 @@ def read_jdbc_table(
     spark: SparkSession,
     url: str,
     table: str,
-    max_rows: int | None = TABLE_ROWS,
+    max_rows: int | None = None,
     properties: dict[str, str] | None = None,
     partition_column: str | None = None,
     bounds: tuple[Any, Any] | None = None,
@@ -62,7 +60,7 @@ def read_jdbc_table(
 ) -> DataFrame:
     """A table, read in parallel ranges when a partition column is named.
 
-    ``max_rows`` is the caller's import limit; ``None`` reads all of it.
+    All of it, unless the caller gives ``max_rows``.
     """
     reader = _reader(spark, url, properties).option("dbtable", check_table_name(table))
     if partition_column and bounds:
@@ -80,15 +78,15 @@ def read_jdbc_query(
     spark: SparkSession,
     url: str,
     sql: str,
-    max_rows: int = QUERY_ROWS,
+    max_rows: int | None = None,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A read-only query; empty results and results beyond the limit fail."""
+    """A read-only query; empty results fail, and results beyond ``max_rows`` if it is given."""
     df = _reader(spark, url, properties).option("query", check_read_only(sql)).load()
-    seen = df.limit(int(max_rows) + 1).count()
+    seen = df.limit(1 if max_rows is None else int(max_rows) + 1).count()
     if not seen:
         raise ParameterError("the query returned no rows")
-    if seen > int(max_rows):
+    if max_rows is not None and seen > int(max_rows):
         raise ParameterError(f"the query returned more than {max_rows} rows")
     return df
 
