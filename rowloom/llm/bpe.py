@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Chunks whose results a Python worker keeps.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 700_000
 NO_MERGE = (1 << 60, -1)
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
