@@ -194,13 +194,14 @@ def _long_enough(a: str, b: str, percent: int) -> str:
 
 
 def shared_rows(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """The prefix rows (token, node, n, l, pos) of tokens that two nodes hold."""
+    """The prefix rows (token, node, n, l, pos, met) of tokens that two nodes hold; met: rows of all the node's tokens."""
     w = Window.partitionBy("token")
-    rows = found.withColumns({"low": F.min("node").over(w), "top": F.max("node").over(w)}).where("low < top")
-    rows = materialize(rows.select("token", "node", "place"))
-    one = rows.groupBy("token", "node").agg(F.max("place").alias("place"))  # copies of a node in several tasks
-    one = one.select("token", "node", F.shiftright("place", 8).cast("int").alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("l"))
-    return materialize(materialize(one).join(reps.select("node", "n"), "node"))
+    rows = found.withColumns({"low": F.min("node").over(w), "top": F.max("node").over(w), "held": F.count("*").over(w)}).where("low < top")
+    rows = materialize(rows.select("token", "node", "place", "held"))
+    one = rows.groupBy("token", "node").agg(F.max("place").alias("place"), F.max("held").alias("held"))  # copies of a node in several tasks
+    place = F.shiftright("place", 8).cast("int").alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("l")
+    one = materialize(one.select("token", "node", *place, "held")).join(reps.select("node", "n"), "node")
+    return materialize(one.withColumn("met", F.sum("held").over(Window.partitionBy("node"))).drop("held"))
 
 
 def room_for_overlap(n: tuple[str, str], level: tuple[str, str], pos: tuple[str, str], percent: int) -> str:
@@ -255,9 +256,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """For each node the leader, the smallest node of a token in another component, that it meets most often."""
-    ends = rows.groupBy("token").agg(F.min(F.struct("node", "n", "l", "pos", "comp")).alias("a"), F.max("comp").alias("top"), F.min("comp").alias("low"))
+def leader_pairs(rows: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """For each node the leader of a token, in another component, that it meets most often.
+
+    A token's leader is first its node that meets the most others, as the text that copies were made from does,
+    whose copies need not be alike among themselves; in later turns it is another one, by hash.
+    """
+    first = F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    ends = rows.groupBy("token").agg(F.max(F.struct(first.alias("by"), "node", "n", "l", "pos", "comp")).alias("a"), F.max("comp").alias("top"), F.min("comp").alias("low"))
     first = materialize(ends.where("low < top").select("token", *(F.col(f"a.{c}").alias(c + "_a") for c in ("node", "n", "l", "pos", "comp"))))
     met = rows.join(first, "token").where("node <> node_a AND comp <> comp_a").where(_long_enough("n", "n_a", percent))
     counted = met.groupBy("node_a", "node").agg(F.count("*").alias("m"), *(F.max(c).alias(c) for c in ("n", "n_a", "l", "l_a", "pos", "pos_a")))
@@ -266,20 +272,41 @@ def leader_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("best.node_a").alias("x"), F.col("node").alias("y"))
 
 
+def least_overlap(n_a: str, n_b: str, percent: int) -> str:
+    """SQL: the overlap that two sets of these sizes need to be similar enough."""
+    return f"ceil({percent} * ({n_a} + {n_b}) / {100 + percent}.0)"
+
+
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components with enough matches in their prefixes and room for the overlap."""
-    mixed = materialize(rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top").select("token"))
+    """All pairs of different components with enough matches in their prefixes and room for the overlap.
+
+    Side a is the smaller set (on ties the smaller node). Sets of these two sizes need an overlap of ``o``, so with
+    ``l`` the lower of their two they meet ``l`` times within the first ``n - o + l`` of both. As ``o`` is least
+    for a partner of a's own size, a's rows beyond that shorter prefix take no part on side a.
+    """
+    rows = materialize(rows.withColumn("leads", F.expr(f"pos <= n - {least_overlap('n', 'n', percent)} + l")))
+    ends = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.max("leads").alias("leads"))
+    mixed = materialize(ends.where("low < top AND leads").select("token"))
     rows = materialize(rows.join(mixed, "token", "left_semi"))
-    comps = materialize(rows.groupBy("token", "comp").agg(F.min("n").alias("short"), F.max("n").alias("long")))
-    a, b = (comps.select("token", *(F.col(c).alias(c + s) for c in ("comp", "short", "long"))) for s in ("_a", "_b"))
-    met = a.join(b, "token").where("comp_a < comp_b").where(f"100 * long_a >= {percent} * short_b AND 100 * long_b >= {percent} * short_a")
-    side = lambda s: rows.select("token", *(F.col(c).alias(c + s) for c in ("comp", "node", "n", "l", "pos")))
+
+    def held(side: DataFrame, s: str) -> DataFrame:
+        aggs = [F.min("n").alias("short" + s), F.max("n").alias("long" + s), F.max("l").alias("l" + s), F.min("pos").alias("pos" + s)]
+        return materialize(side.groupBy("token", F.col("comp").alias("comp" + s)).agg(*aggs))
+
+    a, b = held(rows.where("leads"), "_a"), held(rows, "_b")
+    met = a.join(b, "token").where("comp_a <> comp_b AND short_a <= long_b").where(f"100 * long_a >= {percent} * short_b")
+    both = f"least(l_a, l_b) - {least_overlap('short_a', 'short_b', percent)}"
+    met = met.where(f"pos_a <= long_a + {both} AND pos_b <= long_b + {both}")
     met = materialize(met.select("token", "comp_a", "comp_b"))
-    listed = met.join(side("_a"), ["token", "comp_a"]).join(side("_b"), ["token", "comp_b"]).where(_long_enough("n_a", "n_b", percent))
+    side = lambda f, s: f.select("token", *(F.col(c).alias(c + s) for c in ("comp", "node", "n", "l", "pos")))
+    listed = met.join(side(rows.where("leads"), "_a"), ["token", "comp_a"]).join(side(rows, "_b"), ["token", "comp_b"])
+    listed = listed.where("n_a < n_b OR n_a = n_b AND node_a < node_b").where(f"100 * n_a >= {percent} * n_b")
+    both = f"least(l_a, l_b) - {least_overlap('n_a', 'n_b', percent)}"
+    listed = listed.where(f"pos_a <= n_a + {both} AND pos_b <= n_b + {both}")
     counted = listed.groupBy("node_a", "node_b").agg(
         F.count("*").alias("m"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "l_a", "l_b", "pos_a", "pos_b"))
     )
-    room = room_for_overlap(("n_a", "n_b"), ("l_a", "l_b"), ("pos_a", "pos_b"), percent)
+    room = f"m + least(n_a - pos_a, n_b - pos_b) >= {least_overlap('n_a', 'n_b', percent)}"
     return counted.where("m >= least(l_a, l_b)").where(room).select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
 
 
@@ -297,7 +324,7 @@ def near_duplicates(
     links, labels = None, None
     for turn in range(LEADER_ROUNDS + 1):
         marked = _labelled(rows, labels)
-        pairs = leader_pairs(marked, percent) if turn < LEADER_ROUNDS else cross_pairs(marked, percent)
+        pairs = leader_pairs(marked, percent, turn) if turn < LEADER_ROUNDS else cross_pairs(marked, percent)
         new = verified(pairs, docs, reps, size, percent)
         links = new if links is None else links.unionByName(new)
         labels = components(links)
