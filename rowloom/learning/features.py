@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from rowloom.functions.guards import ROW, ParameterError, hashable, is_number, number, quoted, require, text, type_of
 from rowloom.functions.quantiles import exact_quantiles
 from rowloom.operators.columns import smallest_mode
-from rowloom.operators.ordering import running_total
+from rowloom.operators.ordering import with_row_index
 
 MAX_CATEGORIES = 10_000
 LEAST_ROWS = 10
-HASH_DIRECT_ROWS = 50_000  # hashes are all distinct, so a sketch pays off early
 
 
 def _sql(name: str) -> str:
@@ -77,35 +76,26 @@ def clean_target(df: DataFrame, target: str, problem: str) -> DataFrame:
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: str | None = None):
     """Repeatable train and test parts of exact size, per class if asked.
 
-    Rows are placed by a hash of their content, and the hash below which the
-    wanted share lies is found first (per class: from a narrow running count of
-    class and hash). Both parts are then plain filters of the table, so full
-    rows are neither sorted nor shuffled.
+    Rows are numbered in the order of a hash of their row index, or without one
+    of their content; equal rows are dealt out one by one, so repeated rows fall
+    on both sides. The numbered table is written once and both parts are plain
+    filters of it.
     """
     if not 0 < test_size < 1:
         raise ParameterError("test_size must lie between 0 and 1")
     identity = [quoted(ROW)] if ROW in df.columns else hashable(df)
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *identity), 11)
-    keyed = df.withColumn("__h", hashed)
+    keyed = df.withColumns({"__h": F.xxhash64(F.lit(int(seed)), *identity), "__copy": F.monotonically_increasing_id()})
+    order = [quoted(stratify).asc_nulls_last()] if stratify else []
+    placed = with_row_index(keyed.withColumnRenamed(ROW, "__row"), [*order, F.col("__h"), F.col("__copy")])
+    placed = placed.withColumnRenamed(ROW, "__at").withColumnRenamed("__row", ROW)
     if stratify:
-        narrow = keyed.select(quoted(stratify).alias("__k"), "__h").groupBy("__k", "__h").agg(F.count("*").alias("__n"))
-        ranked = running_total(narrow, "__n", ["__k", "__h"], "__before")
-        classes = ranked.groupBy("__k").agg(F.min("__before").alias("__start"), F.sum("__n").alias("__all"))
-        same = ranked["__k"].eqNullSafe(F.col("__c"))
-        sized = ranked.join(classes.withColumnRenamed("__k", "__c"), same)
-        wanted = F.round(F.col("__all") * F.lit(float(test_size)))
-        limits = (
-            sized.filter(F.col("__before") - F.col("__start") < wanted)
-            .groupBy("__c")
-            .agg(F.max("__h").alias("__limit"))
-        )
-        if limits.count() > MAX_CATEGORIES:
+        sizes = placed.groupBy(quoted(stratify).alias("__c")).agg(F.min("__at").alias("__start"), F.count("*").alias("__all"))
+        if sizes.limit(MAX_CATEGORIES + 1).count() > MAX_CATEGORIES:
             raise ParameterError(f"{stratify!r} has over {MAX_CATEGORIES} classes")
-        marked = keyed.join(F.broadcast(limits), quoted(stratify).eqNullSafe(F.col("__c")), "left")
-        is_test = F.coalesce(F.col("__h") <= F.col("__limit"), F.lit(False))
+        placed = placed.join(F.broadcast(sizes), quoted(stratify).eqNullSafe(F.col("__c")))
+        is_test = F.col("__at") - F.col("__start") < F.round(F.col("__all") * F.lit(float(test_size)))
     else:
-        rows = df.count()
-        held_out = max(1, min(rows - 1, math.ceil(rows * test_size - 1e-9)))
-        at = (held_out - 0.5) / max(1, rows - 1)
-        marked, is_test = keyed, F.col("__h") <= F.lit(exact_quantiles(keyed, ["__h"], [at], HASH_DIRECT_ROWS)["__h"][0])
-    return marked.filter(~is_test).select(*df.columns), marked.filter(is_test).select(*df.columns)
+        rows = placed.count()
+        is_test = F.col("__at") < max(1, min(rows - 1, math.ceil(rows * test_size - 1e-9)))
+    columns = [quoted(c) for c in df.columns]
+    return placed.filter(~is_test).select(*columns), placed.filter(is_test).select(*columns)

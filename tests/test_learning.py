@@ -68,6 +68,19 @@ def test_clusters(spark):
         assert 0 < done.metrics["davies_bouldin_score"] < 1
 
 
+def test_split_of_repeated_rows_is_exact(spark):
+    rows = spark.range(1000).selectExpr("case when id % 6 < 4 then 'a' else 'b' end as k", "cast(id % 3 as string) as v", "if(id % 6 = 0, null, 1) as w")
+    a, b = split(rows, 0.2)
+    assert (a.count(), b.count()) == (800, 200)
+    assert a.unionByName(b).exceptAll(rows).isEmpty() and rows.exceptAll(a.unionByName(b)).isEmpty()
+    sizes = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    a, b = split(rows, 0.25, stratify="k")
+    got = {r["k"]: r["count"] for r in b.groupBy("k").count().collect()}
+    assert got == {k: int(n * 0.25 + 0.5) for k, n in sizes.items()} and a.count() + b.count() == 1000
+    held = split(rows, 0.2, 3)[1].groupBy("k", "v", "w").count()
+    assert held.exceptAll(split(rows.repartition(7), 0.2, 3)[1].groupBy("k", "v", "w").count()).isEmpty()
+
+
 def test_split_is_exact_and_repeatable(table):
     o = table("orders").select("o_orderkey", "o_orderstatus")
     a, b = split(o, 0.25, 7)
