@@ -45,7 +45,7 @@ FAN_IN = 64
 #: Lengths that a prefix may be extended to, and cost of verifying a pair in scanned postings.
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
 VERIFY_COST = 32.0
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: Most hashes of wanted texts that are sent to all tasks to spare a shuffle of all texts.
 BROADCAST_ROWS = 500_000
 _UPPER = np.arange(256, dtype=np.uint8)
