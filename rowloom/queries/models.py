@@ -260,6 +260,19 @@ def l_split(t):
     )
 
 
+@query(
+    "l_train_test_split_repeated",
+    """SELECT l_returnflag, count(*) - CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS train, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS test
+       FROM lineitem GROUP BY 1""",
+)
+def l_split_repeated(t):
+    a, b = split(t("lineitem").select("l_returnflag", "l_linestatus"), 0.2, 42, "l_returnflag")
+    both = a.withColumn("k", F.lit("train")).unionByName(b.withColumn("k", F.lit("test")))
+    return both.groupBy("l_returnflag").agg(
+        F.count(F.when(F.col("k") == "train", 1)).alias("train"), F.count(F.when(F.col("k") == "test", 1)).alias("test")
+    )
+
+
 # ---- text and vectors --------------------------------------------------------
 
 
