@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.formulas import whole
 from rowloom.functions.guards import (
     ParameterError,
     number,
@@ -168,8 +169,8 @@ def math_unary(
         "log10": lambda: F.when(v > 0, F.log10(v)),
         "exp": lambda: F.exp(v),
         "round": lambda: F.bround(v, digits),
-        "floor": lambda: F.floor(v),
-        "ceil": lambda: F.ceil(v),
+        "floor": lambda: whole(F.floor, v),
+        "ceil": lambda: whole(F.ceil, v),
         "negate": lambda: -v,
     }
     kind = str(func).lower()

@@ -52,14 +52,30 @@ def require_index(df: DataFrame, what: str) -> None:
         raise ParameterError(f"{what} follows row order: call with_row_index first")
 
 
+def _span(last: int | None) -> int:
+    return max(BUCKET_ROWS, ((last or 0) // MAX_BUCKETS) + 1)
+
+
 def bucket_rows(df: DataFrame, at_least: int = 1, size: int | None = None) -> int:
     """Index span of a bucket: small enough for a task, few enough to list."""
     if size is None:
-        last = df.agg(F.max(ROW)).first()[0]
-        size = max(BUCKET_ROWS, ((last or 0) // MAX_BUCKETS) + 1)
+        size = _span(df.agg(F.max(ROW)).first()[0])
     return max(size, at_least)
 
 
+def dense(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """The table with its rows numbered 0..n-1, and n.
+
+    One aggregate over the index column tells whether rows were filtered out
+    since it was made; only then they are numbered anew. Indices are unique.
+    """
+    require_index(df, what)
+    rows, low, last = df.agg(F.count("*"), F.min(ROW), F.max(ROW)).first()
+    if rows and (low != 0 or last != rows - 1):
+        df = reindex(df, size=_span(last))
+    return df, rows
+
+
 def _bucket(size: int) -> Column:
     return F.floor(F.col(ROW) / F.lit(size)).cast("long")
 
@@ -90,8 +106,8 @@ def over_row_frames(
 ) -> DataFrame:
     """Run ``build(df, window)`` with every frame of up to ``before`` rows
     behind and ``after`` rows ahead complete inside its bucket."""
-    require_index(df, "row frames")
-    span = bucket_rows(df, at_least=max(before, after, 1), size=size)
+    df, rows = dense(df, "row frames")
+    span = max(size or _span(rows), before, after, 1)
     at = F.pmod(F.col(ROW), F.lit(span))
     home = _bucket(span)
     copies = F.array(

@@ -32,7 +32,7 @@ from rowloom.functions.guards import (
     type_of,
 )
 from rowloom.functions.quantiles import exact_quantiles
-from rowloom.operators.ordering import reindex, require_index, with_row_index
+from rowloom.operators.ordering import dense, reindex, require_index, with_row_index
 
 # Texts that deduplication treats as NULL.
 NULL_WORDS = ("", "null", "none", "na", "n/a", "nan")
@@ -301,16 +301,16 @@ def _positions(values: list[Any]) -> list[int]:
 
 def delete_rows(df: DataFrame, row_indices: list[int]) -> DataFrame:
     """Drop rows by position. The list comes from the caller's own parameters."""
-    require_index(df, "delete_rows")
+    df, rows = dense(df, "delete_rows")
     wanted = _positions(row_indices)
-    if not df.filter(F.col(ROW).isin(wanted)).take(1):
+    if wanted[0] >= rows:
         raise ParameterError("no valid row position given")
     return df.filter(~F.col(ROW).isin(wanted))
 
 
 def duplicate_rows(df: DataFrame, row_indices: list[int]) -> DataFrame:
     """Repeat each listed row once, right behind itself, and renumber."""
-    require_index(df, "duplicate_rows")
+    df, _ = dense(df, "duplicate_rows")
     wanted = _positions(row_indices)
     copies = F.when(F.col(ROW).isin(wanted), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return reindex(df.withColumn("__copy", F.explode(copies)), ["__copy"])
@@ -329,14 +329,12 @@ def _as_type(raw: Column, t: T.DataType) -> tuple[Column, str | None]:
 
 def add_row(df: DataFrame, row_data: dict[str, Any], insert_index: int | str | None = None) -> DataFrame:
     """Append a row, or insert it at a position and move later rows by one."""
-    require_index(df, "add_row")
+    df, size = dense(df, "add_row")
     if not isinstance(row_data, dict):
         raise ParameterError("row_data must map columns to values")
     unknown = [k for k in row_data if k not in df.columns]
     if unknown:
         raise ParameterError(f"unknown columns: {', '.join(unknown)}")
-    last = df.agg(F.max(ROW)).first()[0]
-    size = 0 if last is None else last + 1
     if insert_index in (None, ""):
         at = size
     else:
@@ -363,7 +361,7 @@ def update_cells(df: DataFrame, updates: list[dict[str, Any]] | DataFrame) -> Da
     A list of entries is small by nature; a table of entries joins by
     row position, one row per position after the pivot.
     """
-    require_index(df, "update_cells")
+    df, _ = dense(df, "update_cells")
     spark = df.sparkSession
     if isinstance(updates, DataFrame):
         patch = updates.select(
@@ -457,7 +455,7 @@ def remove_outliers_iqr(
 
 def head(df: DataFrame, rows: int) -> DataFrame:
     """The first rows in row order."""
-    require_index(df, "head")
+    df, _ = dense(df, "head")
     return df.filter(F.col(ROW) < int(rows))
 
 

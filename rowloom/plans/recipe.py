@@ -67,10 +67,11 @@ class Recipe:
         return replace(self, steps=self.steps[: max(0, count)])
 
     def apply(self, df: DataFrame, sources: dict[str, DataFrame] | None = None) -> DataFrame:
-        return self._stages(df, sources)[-1] if self.steps else df
+        """All steps; the rows that are left are numbered without gaps."""
+        return self._stages(df, sources) if self.steps else df
 
-    def _stages(self, df: DataFrame, sources: dict[str, DataFrame] | None) -> list[DataFrame]:
-        stages, gaps, order = [], False, None
+    def _stages(self, df: DataFrame, sources: dict[str, DataFrame] | None) -> DataFrame:
+        gaps, order = False, None
         for number, step in enumerate(self.steps, 1):
             op = operation(step.operation)
             params = dict(step.params)
@@ -80,20 +81,17 @@ class Recipe:
                 if op.dense or op.name == "sort_rows":
                     if ROW not in df.columns and order:
                         df, order = with_row_index(df, order), None
-                    elif gaps and op.dense:
-                        df, gaps = reindex(df), False
                 df = op.run(df, **params)
             except (ParameterError, TypeError) as err:
                 raise ParameterError(f"step {number} ({step.operation}): {err}") from err
             gaps = gaps or op.gaps
-            if op.name in {"sort_rows", "add_row", "duplicate_rows"}:
+            if op.dense and not op.gaps or op.name == "sort_rows":
                 gaps = False
             if op.name == "group_aggregate":
                 keys = params["group_by"]
                 order = [k.strip() for k in keys.split(",")] if isinstance(keys, str) else list(keys)
                 gaps = False
-            stages.append(df)
-        return stages
+        return reindex(df) if gaps and ROW in df.columns and not df.isStreaming else df
 
     def trace(self, df: DataFrame, sources: dict[str, DataFrame] | None = None, counts: bool = False) -> list[dict]:
         """Columns after each step, and rows when asked for (one job a step).

@@ -321,7 +321,8 @@ def e6(t):
     df = datemath.math_scalar(df, "b", "divide", 100, "h")
     df = datemath.math_unary(df, "h", "round", 1, "f_round")
     out = [r6(f"f_{f}").alias(f"f_{f}") for f in ("sqrt", "log", "log10", "exp")]
-    return df.select("c_custkey", "f_abs", *out, (F.col("f_round") + F.lit(0.0)).alias("f_round"), "f_floor", "f_ceil", "f_negate")
+    whole = [F.col(c).cast("long").alias(c) for c in ("f_floor", "f_ceil")]
+    return df.select("c_custkey", "f_abs", *out, (F.col("f_round") + F.lit(0.0)).alias("f_round"), *whole, "f_negate")
 
 
 @query(

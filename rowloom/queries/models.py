@@ -426,3 +426,20 @@ def n6(t):
     h.undo()
     h.redo()
     return h.restore("clean").select("event_id", "value")
+
+
+@query(
+    "n6_history_folded",
+    """WITH kept AS (SELECT event_id, ts, value FROM events WHERE value > 1 AND event_type <> 'error'),
+            moved AS (SELECT event_id, value, lag(value) OVER (ORDER BY ts) AS value_shift_down_1,
+                             row_number() OVER (ORDER BY ts) AS k FROM kept)
+       SELECT event_id, value, value_shift_down_1 FROM moved WHERE k NOT IN (1, 101)""",
+)
+def n6_folded(t):
+    """The first two steps are folded into the base before the later ones follow the row order."""
+    h = History(with_row_index(t("events").select("event_id", "ts", "value", "event_type"), ["ts"]), depth=2)
+    h.do("delete_rows_condition", column="value", condition="<=", value=1)
+    h.do("delete_rows_condition", column="event_type", condition="eq", value="error")
+    h.do("shift_column", column="value", direction="down", shifts=1)
+    h.do("delete_rows", row_indices=[0, 100])
+    return h.current().select("event_id", "value", "value_shift_down_1")

@@ -211,6 +211,15 @@ def c10(t):
     return rows.head(with_row_index(t("events"), ["ts"]), 200).select("event_id", "value")
 
 
+@query(
+    "c10_head_after_delete",
+    """SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM events WHERE value > 40) WHERE k <= 50""",
+)
+def c10_after(t):
+    left = rows.delete_rows_condition(with_row_index(t("events"), ["ts"]), "value", "<=", 40)
+    return rows.head(left, 50).select("event_id", "value")
+
+
 @query(
     "c11_top_k",
     """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12""",
@@ -240,6 +249,15 @@ def h1(t):
     return both.select("event_id", "kind_shift_down_3", "value_shift_up_2")
 
 
+@query(
+    "h1_shift_after_delete",
+    """SELECT event_id, lag(value, 2) OVER (ORDER BY ts) AS value_shift_down_2 FROM events WHERE event_type <> 'error'""",
+)
+def h1_after(t):
+    left = rows.delete_rows_condition(_events(t, "value", "event_type"), "event_type", "eq", "error")
+    return ordered.shift_column(left, "value", "down", 2).select("event_id", "value_shift_down_2")
+
+
 @query(
     "h2_stats_rolling_mean",
     """SELECT event_id, CASE WHEN count(v) OVER w >= 4

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.guards import ROW, ParameterError, data_columns, nan_to_null, present, quoted
-from rowloom.operators.ordering import require_index
+from rowloom.operators.ordering import dense, require_index
 from rowloom.sources.schema import coerce_to_schema, infer_schema, schema_signature
 
 PAGE_LIMIT = 1_000
@@ -93,8 +93,8 @@ def save(df: DataFrame, path: str, version: int = 1, previous: DataFrame | None
 
 
 def read_page(df: DataFrame, limit: int = 200, offset: int = 0, cap: int = PAGE_LIMIT) -> DataFrame:
-    """A page by position: a range filter that reaches the scan, not a sort."""
-    require_index(df, "read_page")
+    """A page by position: a range filter, which reaches the scan unless rows are missing in between."""
+    df, _ = dense(df, "read_page")
     size, start = max(1, min(cap, int(limit))), max(0, int(offset))
     return df.filter((F.col(ROW) >= start) & (F.col(ROW) < start + size))
 

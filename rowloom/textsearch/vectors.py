@@ -84,12 +84,14 @@ def nearest(
 ) -> DataFrame:
     """``query_id, base_id, distance`` of the ``k`` nearest, exact.
 
-    Both tables have a numeric ``id`` and an array ``vec`` of one length.
+    Both tables have a numeric ``id`` and an array ``vec`` of one length; rows
+    whose vector is NULL or holds a NULL take no part.
     """
     if metric not in {"cosine", "euclidean"}:
         raise ParameterError("metric must be cosine or euclidean")
     q = queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     b = base.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    q, b = (t.filter("vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL)") for t in (q, b))
     first = b.limit(1).collect()
     if not first:
         return queries.sparkSession.createDataFrame([], _OUT)
