@@ -6,8 +6,9 @@ important a branch is: the entropy, over the host's different pages, of what
 its leaves say and of the child sequences (presentations) its inner nodes
 show. Branches that say the same on page after page are dropped, and so are
 branches that markup names as navigation, advertising, forms, comments and the
-like. Inside an article only the latter go, so sentences that many articles
-share stay.
+like. This holds inside and outside of article and main elements; standing in
+one weighs for a branch but decides nothing alone. All paragraphs of one path
+are one leaf, so a sentence that many articles share stays among others.
 
 Cases: null pages give empty text; unclosed tags close with their parents;
 hosts with few different pages are judged by markup alone; repeated rows count
@@ -33,6 +34,8 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.3
 #: Weight of a node's own entropy against that of its children, per child.
 DECAY = 0.9
+#: How many times the importance of a branch counts in an article or main element.
+MAIN_WEIGHT = 2
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S
@@ -72,7 +75,7 @@ class Page:
     def __init__(self, source: str):
         #: (tag, path, dropped by markup, inside an article or main element)
         self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool]] = []
         self.shapes: dict[str, list[str]] = {}
         self.words: list[str] = []
         at = 0
@@ -101,9 +104,9 @@ class Page:
         text = " ".join(html.unescape("".join(self.words)).split())
         self.words = []
         if text:
-            _, path, dropped, main = next(x for x in reversed(self.stack) if x[0] not in INLINE)
+            _, path, dropped, _ = next(x for x in reversed(self.stack) if x[0] not in INLINE)
             inline_dropped = dropped or self.stack[-1][2]
-            self.blocks.append((text, path, inline_dropped, main))
+            self.blocks.append((text, path, inline_dropped))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -169,8 +172,8 @@ def tree_rows(pages: DataFrame) -> DataFrame:
                 source = source.as_py() or ""
                 page, host, own = Page(source), host_of(url), _hash(source)
                 said: dict[str, list[str]] = {}
-                for text, path, dropped, main in page.blocks:
-                    if not main and not dropped:
+                for text, path, dropped in page.blocks:
+                    if not dropped:
                         said.setdefault(path, []).append(text)
                 for path, texts in said.items():
                     out.append((host, own, path, True, _hash("\n".join(texts))))
@@ -225,28 +228,29 @@ def low_importance(entropies: dict[tuple[str, bool], float]) -> list[int]:
         keep = DECAY ** len(below)
         own = entropies.get((path, False))
         memo[path] = (1 - keep) * own + keep * float(np.mean(below)) if below and own is not None and own < 1 else float(np.mean(below)) if below else 1.0
-    return sorted(_hash(p) for p, x in memo.items() if x < LEAST_IMPORTANCE and _only_text(p, entropies))
+    return sorted(_hash(p) for p, x in memo.items() if x * _weight(p) < LEAST_IMPORTANCE and _only_text(p, entropies))
+
+
+def _weight(path: str) -> int:
+    return MAIN_WEIGHT if any(part.partition(".")[0] in MAIN for part in path.split("/")) else 1
 
 
 def _only_text(path: str, entropies: dict[tuple[str, bool], float]) -> bool:
     """Whether some leaf stands in this branch and none in it says much."""
-    inside = [e for (p, leaf), e in entropies.items() if leaf and (p == path or p.startswith(path + "/"))]
+    inside = [e * _weight(p) for (p, leaf), e in entropies.items() if leaf and (p == path or p.startswith(path + "/"))]
     return bool(inside) and max(inside) < LEAST_IMPORTANCE
 
 
 def main_text(source: str | None, dull: set[int]) -> str:
     page = Page(source or "")
-    has_main = any(main and not dropped for _, _, dropped, main in page.blocks)
 
-    def kept(path: str, dropped: bool, main: bool) -> bool:
-        if dropped or has_main and not main:
-            return False
-        if main or not dull:
-            return True
+    def kept(path: str, dropped: bool) -> bool:
+        if dropped or not dull:
+            return not dropped
         parts = path.split("/")
         return not any(_hash("/".join(parts[:i])) in dull for i in range(2, len(parts) + 1))
 
-    return "\n".join(text for text, path, dropped, main in page.blocks if kept(path, dropped, main))
+    return "\n".join(text for text, path, dropped in page.blocks if kept(path, dropped))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

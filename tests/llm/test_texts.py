@@ -108,6 +108,20 @@ def test_branches_that_repeat_on_a_host_go(spark):
     assert (got[100], got[101], got[102]) == ("alone", "", "")
 
 
+def test_article_tags_do_not_decide_alone(spark):
+    rows = []
+    for i in range(12):
+        inside = f'<article><p>Story {i} begins.</p><p>Same words.</p><div class="box">Read on elsewhere</div></article>'
+        rows.append((i, f"http://a.example/{i}", page(inside)))
+        beside = f'<article class="teaser"><p>New today</p></article><div class="story"><p>Tale {i} begins.</p></div>'
+        rows.append((100 + i, f"http://b.example/{i}", page(beside)))
+    rows.append((200, "http://c.example/", page("<article>teaser</article><div>story</div>")))
+    got = {r[0]: r[2] for r in htmltree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 begins.\nSame words."
+    assert got[103] == "Tale 3 begins."
+    assert got[200] == "teaser\nstory"
+
+
 def test_junk_goes_and_clean_texts_stay(spark):
     pick = random.Random(4)
     word = lambda: "".join(pick.choice("abcdefgh") for _ in range(pick.randrange(2, 9)))
