@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, chat, htmltree, jaccard, langid, mixing, quality, suffixarray, suffixtree, topk
+from rowloom.llm import bpe, chat, htmltree, jaccard, langid, licenses, mixing, quality, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op5(table):
 def op10(table):
     out = suffixarray.dedupe_bytes(table("documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_license_scan")
+def op13(table):
+    return licenses.scan_licenses(table("documents")).drop("detections")
