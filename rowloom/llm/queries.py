@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, chat, htmltree, jaccard, langid, licenses, mixing, quality, suffixarray, suffixtree, topk
+from rowloom.llm import bpe, chat, htmltree, jaccard, langid, licenses, mixing, quality, spelling, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -23,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _crc32(s: str) -> str:
+    """SQL: CRC-32 of a text's UTF-8, bit by bit."""
+    octet = f"('0x' || substr(hex(encode({s})), (2 * i + 1)::int, 2))::bigint"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode({s}))), lambda i: {octet})), lambda c, b: {step}), 4294967295)"
+
+
 def tokenizer_path() -> str:
     """The public tokenizer file; the package is installed on every executor."""
     import public_tokenizers
@@ -110,3 +117,40 @@ def op10(table):
 @query("op13_license_scan")
 def op13(table):
     return licenses.scan_licenses(table("documents")).drop("detections")
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::varchar, '') || ':' AS id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS run FROM documents
+), low AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs
+), hashed AS (
+  SELECT run, c, {_crc32("id || run")} AS h FROM (SELECT id, run, count(*) AS c FROM low GROUP BY ALL)
+), cut AS (
+  SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+), vocab AS (
+  SELECT word, sum(c)::bigint AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocab)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocab b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN vocab b ON a.v = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS near_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * v.n THEN b.near_n END AS form_n,
+         CASE WHEN b.near_n >= 10 * v.n THEN (SELECT min(p.near) FROM pairs p WHERE p.word = v.word AND p.n = b.near_n) END AS form
+  FROM vocab v LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.at WHERE e.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", _OP12_SQL)
+def op12(table):
+    return spelling.group_variants(table("documents"))
