@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import bpe, chat, htmltree, jaccard, langid, licenses, mixing, quality, spelling, suffixarray, suffixtree, topk
+from rowloom.llm import bpe, chat, htmltree, jaccard, langid, licenses, mixing, prefixtrie, quality, spelling, suffixarray, suffixtree, topk
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -154,3 +154,45 @@ FROM forms f JOIN chain c USING (word) JOIN forms e ON e.word = c.at WHERE e.for
 @query("op12_spelling_variants", _OP12_SQL)
 def op12(table):
     return spelling.group_variants(table("documents"))
+
+
+_OP11_SQL = f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT conv, conv - conv % 20 AS base, {_crc32("conv::varchar")} % 4 AS h FROM (SELECT DISTINCT conv FROM own)
+), taken AS (
+  SELECT s.conv, o.pos, o.role, o.text FROM heads s JOIN own o ON o.conv = s.base AND o.pos <= s.h
+), turns AS (
+  SELECT * FROM taken
+  UNION ALL SELECT o.conv, o.pos - s.h + (SELECT count(*) FROM taken t WHERE t.conv = o.conv), o.role, o.text FROM own o JOIN heads s USING (conv) WHERE o.pos > s.h
+), member AS (
+  SELECT conv, pos AS depth, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv ORDER BY pos) AS prefix,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM turns
+  UNION ALL SELECT conv, 0, '', 0 FROM heads
+), node AS (
+  SELECT prefix, depth, min(conv) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved FROM member GROUP BY ALL
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.prefix AS above FROM node n LEFT JOIN node p ON p.prefix = left(n.prefix, greatest(length(n.prefix) - 64, 0)) AND p.depth = n.depth - 1
+), kids AS (
+  SELECT above AS prefix, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1
+), reach AS (
+  SELECT prefix AS node, above, saved, depth, CASE WHEN prefix IN (SELECT prefix FROM kids) THEN 0 ELSE 1 END AS leaf, prefix AS top FROM linked
+  UNION ALL SELECT r.node, l.above, r.saved, l.depth, r.leaf, l.prefix FROM reach r JOIN linked l ON l.prefix = r.above WHERE r.depth > 0
+), total AS (
+  SELECT top AS prefix, sum(leaf)::bigint AS n_leaves, sum(saved)::bigint AS saved_tokens FROM reach GROUP BY 1
+), ends AS (
+  SELECT prefix, string_agg(conv::varchar, ',' ORDER BY conv) AS ids FROM (SELECT conv, max_by(prefix, depth) AS prefix FROM member GROUP BY conv) GROUP BY 1
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM linked LEFT JOIN kids USING (prefix) JOIN total USING (prefix) LEFT JOIN ends USING (prefix)
+"""
+
+
+@query("op11_prefix_trie", _OP11_SQL)
+def op11(table):
+    turns = prefixtrie.numbered(table("conversations"))
+    convs = turns.select("conv").distinct()
+    return prefixtrie.prefix_trie(convs, prefixtrie.with_shared_starts(convs, turns))
