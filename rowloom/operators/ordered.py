@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +18,11 @@ from rowloom.functions.guards import (
     require_free,
     type_of,
 )
-from rowloom.functions.search import bounds_below
+from rowloom.functions.inversions import BLOCK_ROWS, count_inversions
 from rowloom.functions.stats import kurt, skew
-from rowloom.operators.binning import cell_ids
-from rowloom.operators.ordering import over_row_frames, require_index, running_total
+from rowloom.operators.ordering import over_row_frames, require_index, running_total, with_row_index
 from rowloom.operators.skew import lookup
+from rowloom.session import materialize
 
 _UP = {"up", "u", "lead"}
 _DOWN = {"down", "d", "lag"}
@@ -172,44 +170,57 @@ def stats_percentile_rank(df: DataFrame, column: str, new_name: str | None = Non
     return place_after(joined, column, {name: F.col("__rank")}).drop("__v", "__rank")
 
 
-KENDALL_CELLS = 512
+#: Pairs up to which the p-value without ties is that of the exact distribution.
+EXACT_PAIRS = 33
 
 
-def _kendall_from_cells(cells: pd.DataFrame, size: int) -> tuple[float, float, int]:
-    """Tau-b and its tie-corrected two-sided p-value from a table of counts."""
-    table = np.zeros((size, size))
-    table[cells["a"].to_numpy(dtype=int), cells["b"].to_numpy(dtype=int)] = cells["n"].to_numpy(dtype=float)
-    n = table.sum()
-    pairs = n * (n - 1) / 2
-    above = np.zeros((size + 1, size + 1))
-    above[:-1, :-1] = table[::-1, ::-1].cumsum(axis=0).cumsum(axis=1)[::-1, ::-1]
-    concordant = float((table * above[1:, 1:]).sum())
-    rows, cols = table.sum(axis=1), table.sum(axis=0)
-    tie_a, tie_b = (rows * (rows - 1) / 2).sum(), (cols * (cols - 1) / 2).sum()
-    tie_ab = (table * (table - 1) / 2).sum()
-    discordant = pairs - concordant - tie_a - tie_b + tie_ab
+def _exact_kendall_p(n: int, few: int) -> float:
+    """Two-sided chance of at most ``few`` inversions (or as many concordant pairs) in a random order of n rows."""
+    if 4 * few == n * (n - 1):
+        return 1.0
+    ways = [1] + [0] * few  # orders of one row, by their inversions
+    for size in range(2, n + 1):
+        if size > few + 1 and few <= 1:
+            # One more row adds one place for a single inversion.
+            ways = [1, n - 1][: few + 1]
+            break
+        ways = [sum(ways[max(0, k - size + 1) : k + 1]) for k in range(few + 1)]
+    return min(1.0, 2.0 * math.exp(math.log(sum(ways)) - math.lgamma(n + 1)))
+
+
+def _kendall(r: Any) -> tuple[float, float]:
+    """Tau-b and its two-sided p-value from pair counts: tie-corrected normal, or exact for few pairs without ties."""
+    n, tie_a, tie_b, tie_ab, discordant = (int(r[c]) for c in ("pairs", "tie_a", "tie_b", "tie_ab", "inverted"))
+    pairs = n * (n - 1) // 2
+    if n < 3 or pairs in (tie_a, tie_b):
+        return float("nan"), float("nan")
+    concordant = pairs - discordant - tie_a - tie_b + tie_ab
     score = concordant - discordant
-    if n < 3 or tie_a == pairs or tie_b == pairs:
-        return float("nan"), float("nan"), int(n)
-    tau = score / math.sqrt(pairs - tie_a) / math.sqrt(pairs - tie_b)
+    tau = max(-1.0, min(1.0, score / math.sqrt(pairs - tie_a) / math.sqrt(pairs - tie_b)))
+    few = min(concordant, discordant)
+    if not tie_a and not tie_b and (n <= EXACT_PAIRS or few <= 1):
+        return tau, _exact_kendall_p(n, few)
     m = n * (n - 1.0)
-    part_a, part_b = (rows * (rows - 1)), (cols * (cols - 1))
-    variance = (
-        (m * (2 * n + 5) - (part_a * (2 * rows + 5)).sum() - (part_b * (2 * cols + 5)).sum()) / 18
-        + 2.0 * tie_a * tie_b / m
-        + (part_a * (rows - 2)).sum() * (part_b * (cols - 2)).sum() / (9.0 * m * max(n - 2, 1))
-    )
-    p = math.erfc(abs(score) / math.sqrt(2.0 * variance)) if variance > 0 else float("nan")
-    return max(-1.0, min(1.0, tau)), p, int(n)
-
-
-def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int = 24) -> DataFrame:
-    """Kendall's tau-b between the column and each lag of it.
-
-    Values are coded by rank: exact while there are at most ``KENDALL_CELLS``
-    distinct ones, otherwise by quantile cell, so equal cells count as ties.
-    Spark groups the (lag, cell, cell) counts; each lag then owns at most
-    ``KENDALL_CELLS`` squared counts.
+    spread = (m * (2 * n + 5) - int(r["odd_a"]) - int(r["odd_b"])) / 18
+    variance = spread + 2.0 * tie_a * tie_b / m + int(r["triple_a"]) * int(r["triple_b"]) / (9.0 * m * max(n - 2, 1))
+    return tau, math.erfc(abs(score) / math.sqrt(2.0 * variance)) if variance > 0 else float("nan")
+
+
+def _tie_sums(pairs: DataFrame, side: str) -> DataFrame:
+    """Per lag: pairs that tie in the column, and the two sums that correct the variance."""
+    t = F.col("t").cast("decimal(38,0)")
+    held = pairs.groupBy("lag", side).agg(F.count("*").alias("t"))
+    sums = {"tie": t * (t - 1) / 2, "odd": t * (t - 1) * (2 * t + 5), "triple": t * (t - 1) * (t - 2)}
+    return held.groupBy("lag").agg(*(F.sum(v.cast("decimal(38,0)")).alias(f"{name}_{side}") for name, v in sums.items()))
+
+
+def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int = 24, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Kendall's tau-b between the column and each lag of it, exact for any number of values.
+
+    The pairs of a lag are numbered along (value, lagged value) and along
+    (lagged value, value), each by one range shuffle; pairs that fall are the
+    discordant ones, and ties are grouped counts. Only one row per lag, with
+    its sums, reaches the driver.
     """
     require(df, column)
     require_index(df, "Kendall lags")
@@ -217,29 +228,29 @@ def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int
     high = int(max_lag)
     if high < low:
         raise ParameterError("max_lag is below min_lag")
-    known = df.select("_row_index", number(df, column).alias("x"))
-    coded = cell_ids(known, F.col("x"), KENDALL_CELLS)
-    levels = sorted(float(r["cell"]) for r in coded.select("cell").distinct().collect())
-    codes = bounds_below(coded.select("_row_index", "cell"), "cell", levels, "c").select("_row_index", "c")
-    gaps = known.filter("x is null").select("_row_index", F.lit(None).cast("double").alias("c"))
-    ordered = codes.unionByName(gaps)
+    x = number(df, column)
+    known = df.select("_row_index", F.when(~F.isnan(x), x + F.lit(0.0)).alias("x"))  # no NaN, and one zero
 
     def build(spread: DataFrame, window) -> DataFrame:
         lags = F.array(
-            *[F.struct(F.lit(k).alias("lag"), F.lag("c", k).over(window).alias("b")) for k in range(low, high + 1)]
+            *[F.struct(F.lit(k).alias("lag"), F.lag("x", k).over(window).alias("b")) for k in range(low, high + 1)]
         )
         return spread.withColumn("__lags", lags)
 
-    framed = over_row_frames(ordered, high, 0, build).filter("c is not null")
-    pairs = framed.select(F.col("c").alias("a"), F.explode("__lags").alias("l")).select("a", "l.lag", "l.b")
-    cells = pairs.filter("b is not null").groupBy("lag", "a", "b").agg(F.count("*").alias("n"))
-    size = max(1, len(levels))
-
-    def score(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        tau, p, n = _kendall_from_cells(part, size)
-        return pd.DataFrame({"lag": [int(key[0])], "tau": [tau], "pvalue": [p], "pairs": [n]})
-
-    return cells.groupBy("lag").applyInPandas(score, "lag int, tau double, pvalue double, pairs long")
+    framed = over_row_frames(known, high, 0, build).filter("x is not null")
+    pairs = framed.select(F.col("_row_index").alias("at"), F.col("x").alias("a"), F.explode("__lags").alias("l"))
+    pairs = pairs.select("at", "l.lag", "a", "l.b").filter("b is not null")
+    placed = with_row_index(pairs, ["lag", "a", "b", "at"]).withColumnRenamed("_row_index", "p")
+    placed = materialize(with_row_index(placed, ["lag", "b", "a", "at"]).withColumnRenamed("_row_index", "r"))
+    sizes = placed.groupBy("lag").agg(F.count("*").alias("pairs"), F.min("p").alias("first"))
+    numbered = placed.join(F.broadcast(sizes.select("lag", "first")), "lag")  # a row per lag
+    numbered = numbered.select(F.col("lag").alias("grp"), (F.col("p") - F.col("first")).alias("p"), (F.col("r") - F.col("first")).alias("r"))
+    inverted = count_inversions(numbered, block_rows).withColumnRenamed("grp", "lag")
+    both = placed.groupBy("lag", "a", "b").agg(F.count("*").cast("decimal(38,0)").alias("t")).groupBy("lag")
+    both = both.agg(F.sum((F.col("t") * (F.col("t") - 1) / 2).cast("decimal(38,0)")).alias("tie_ab"))
+    table = sizes.join(inverted, "lag").join(both, "lag").join(_tie_sums(placed, "a"), "lag").join(_tie_sums(placed, "b"), "lag")
+    rows = [(r["lag"], *_kendall(r), r["pairs"]) for r in table.collect()]
+    return df.sparkSession.createDataFrame(rows, "lag int, tau double, pvalue double, pairs long")
 
 
 def significant_lags_kendall(

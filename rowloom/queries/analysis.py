@@ -313,9 +313,9 @@ def k13(t):
 
 @query(
     "k13_top_values",
-    """SELECT substr(CAST(text AS VARCHAR), 1, 32) AS label, count(*) AS n,
+    """SELECT substr(text, 1, 32) AS label, count(*) AS n,
               round(count(*) * 100.0 / (SELECT count(*) FROM conversations WHERE text <> ''), 6) AS pct
-       FROM conversations WHERE text <> '' GROUP BY 1 ORDER BY n DESC, label LIMIT 3""",
+       FROM conversations WHERE text <> '' GROUP BY text ORDER BY n DESC, label, sha256(text) LIMIT 3""",
 )
 def k13_top(t):
     return profile.top_values(t("conversations"), "text").select("label", "n", r6("pct").alias("pct"))

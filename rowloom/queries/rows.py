@@ -334,6 +334,30 @@ def h4(t):
     return table.select("lag", "pairs", r6("tau").alias("tau"))
 
 
+def _h4_price_sql():
+    """Tau-b of thousands of values; falling pairs counted among rows of one rank prefix, bit by bit."""
+    return """
+      WITH e AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS i FROM lineitem),
+           c AS (SELECT lag, e.x AS a, f.x AS b FROM range(1, 3) k(lag) JOIN e ON TRUE JOIN e f ON f.i = e.i - k.lag),
+           o AS (SELECT lag, a, b, row_number() OVER (PARTITION BY lag ORDER BY a, b) AS p, row_number() OVER (PARTITION BY lag ORDER BY b, a) - 1 AS r FROM c),
+           w AS (SELECT lag, l, (r >> l) & 1 AS bit, sum((r >> l) & 1) OVER (PARTITION BY lag, l, r >> (l + 1) ORDER BY p) AS ones FROM o, range(0, 24) z(l)),
+           d AS (SELECT lag, sum(ones) AS d FROM w WHERE bit = 0 GROUP BY lag),
+           m AS (SELECT lag, count(*) AS n FROM c GROUP BY lag),
+           ta AS (SELECT lag, sum(n * (n - 1)) / 2 AS t FROM (SELECT lag, a, count(*) AS n FROM c GROUP BY lag, a) GROUP BY lag),
+           tb AS (SELECT lag, sum(n * (n - 1)) / 2 AS t FROM (SELECT lag, b, count(*) AS n FROM c GROUP BY lag, b) GROUP BY lag),
+           tc AS (SELECT lag, sum(n * (n - 1)) / 2 AS t FROM (SELECT lag, a, b, count(*) AS n FROM c GROUP BY lag, a, b) GROUP BY lag)
+      SELECT CAST(lag AS INT) AS lag, CAST(m.n AS BIGINT) AS pairs,
+             round((m.n * (m.n - 1) / 2 - ta.t - tb.t + tc.t - 2 * d.d) / sqrt(m.n * (m.n - 1) / 2 - ta.t) / sqrt(m.n * (m.n - 1) / 2 - tb.t), 9) + 0 AS tau
+      FROM m JOIN d USING (lag) JOIN ta USING (lag) JOIN tb USING (lag) JOIN tc USING (lag)"""
+
+
+@query("h4_kendall_price", _h4_price_sql())
+def h4_price(t):
+    rows = with_row_index(t("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    table = ordered.kendall_lag_table(rows, "l_extendedprice", 1, 2)
+    return table.select("lag", "pairs", (F.round("tau", 9) + F.lit(0.0)).alias("tau"))
+
+
 @query(
     "h5_stats_percentile_rank",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
