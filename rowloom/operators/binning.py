@@ -1,9 +1,7 @@
 """Discretisation: bin edges fitted by Spark, applied as one CASE chain.
 
-Edges are few (bins + 1 numbers). Methods that search for edges work on a
-histogram of at most ``CELLS`` value cells that Spark groups beforehand: every
-distinct value is a cell of its own while they fit, else cells are quantile
-ranges, each represented by its mean.
+Edges are few (bins + 1 numbers). Trees and natural breaks search all distinct
+values (see ``splits``); ChiMerge merges at most 50 quantile buckets.
 """
 
 from __future__ import annotations
@@ -32,8 +30,10 @@ from rowloom.functions.guards import (
 )
 from rowloom.functions.quantiles import exact_quantiles
 from rowloom.functions.search import bounds_below
+from rowloom.operators.splits import natural_breaks, tree_thresholds
 
-CELLS = 1_024
+#: Classes whose counts per bucket ChiMerge lists on the driver.
+CLASSES = 1_024
 LABEL_DIGITS = 3
 INF = float("inf")
 
@@ -111,60 +111,12 @@ def kmeans_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     return [-INF, *[(a + b) / 2.0 for a, b in zip(centres, centres[1:])], INF]
 
 
-def cell_ids(df: DataFrame, v: Column, limit: int = CELLS) -> DataFrame:
-    """Rows with a value ``v`` and its ``cell``, an increasing function of it.
-
-    At most ``limit`` cells: the distinct values, else quantile ranges.
-    """
-    held = df.withColumn("v", v).filter("v is not null")
-    if _distinct_upto(held, F.col("v"), limit + 1) <= limit:
-        return held.withColumn("cell", F.col("v"))
-    cuts = exact_quantiles(held, ["v"], np.linspace(0.0, 1.0, limit + 1).tolist())["v"]
-    return bounds_below(held, "v", sorted(set(cuts[1:-1])), "cell")
-
-
-def _histogram(df: DataFrame, column: str):
-    cells = cell_ids(df.select(number(df, column).alias("v")), F.col("v"))
-    rows = (
-        cells.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.max("v").alias("hi"), F.sum(F.col("v") * F.col("v")).alias("q"))
-        .orderBy("cell")
-        .collect()
-    )
-    return [np.array([float(r[k]) for r in rows]) for k in ("n", "m", "hi", "q")]
-
-
 def jenks_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Natural breaks: least squared deviation over all splits of the histogram.
-
-    The split search costs at most bins x CELLS^2 steps whatever the table size.
-    """
-    n, m, hi, q = _histogram(df, column)
-    size = len(n)
-    if size < 2:
+    """Natural breaks: the classes of least squared deviation, over all distinct values."""
+    ends = natural_breaks(df.select(number(df, column).alias("v")), bins)
+    if len(ends) < 2:
         return equal_width_edges(df, column, 2)
-    k = min(bins, size)
-    cn, cs, cq = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, n * m, q))
-
-    def spread(start: np.ndarray, stop: int) -> np.ndarray:
-        count, total = cn[stop] - cn[start], cs[stop] - cs[start]
-        return cq[stop] - cq[start] - total * total / count
-
-    best = np.full((k + 1, size + 1), np.inf)
-    came = np.zeros((k + 1, size + 1), dtype=int)
-    best[0, 0] = 0.0
-    for group in range(1, k + 1):
-        for stop in range(group, size + 1):
-            starts = np.arange(group - 1, stop)
-            costs = best[group - 1, starts] + spread(starts, stop)
-            pick = int(np.argmin(costs))
-            best[group, stop], came[group, stop] = costs[pick], starts[pick]
-    stops, at = [], size
-    for group in range(k, 0, -1):
-        stops.append(at)
-        at = came[group, at]
-    low = equal_width_edges(df, column, 1)[0]
-    return [low, *[float(hi[s - 1]) for s in reversed(stops)]]
+    return [df.agg(F.min(number(df, column))).first()[0], *ends]
 
 
 def _classes(df: DataFrame, target: str, as_bins: bool) -> tuple[DataFrame, bool]:
@@ -180,84 +132,15 @@ def _classes(df: DataFrame, target: str, as_bins: bool) -> tuple[DataFrame, bool
     return df.withColumn("y", text(df, target) if few else number(df, target)), few
 
 
-def _check_classes(marked: DataFrame, target: str) -> None:
-    """Class counts are listed on the driver, so their number is checked."""
-    if _distinct_upto(marked, F.col("y"), CELLS + 1) > CELLS:
-        raise ParameterError(f"target {target!r} has over {CELLS} classes")
-
-
 def tree_edges(df: DataFrame, column: str, target: str, bins: int, criterion: str | None = None, as_bins: bool = False):
-    """Thresholds of a best-first tree on one feature.
-
-    Spark groups the (cell, class) counts, or the cell moments of a numeric
-    target; the tree is grown on that table of at most CELLS cells.
-    """
+    """Thresholds of a best-first tree on one feature, over all its distinct values."""
     require(df, target, "target_column")
     marked, classify = _classes(df, target, as_bins)
-    cells = cell_ids(marked.filter(F.col("y").isNotNull()), number(df, column))
-    if classify:
-        grouped = cells.groupBy("cell", "y").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        _check_classes(marked, target)
-        rows = grouped.collect()
-        names = {y: i for i, y in enumerate(sorted({r["y"] for r in rows}))}
-        order = sorted({r["cell"] for r in rows})
-        at = {c: i for i, c in enumerate(order)}
-        table = np.zeros((len(order), len(names)))
-        lo, hi = np.full(len(order), INF), np.full(len(order), -INF)
-        for r in rows:
-            i = at[r["cell"]]
-            table[i, names[r["y"]]] += r["n"]
-            lo[i], hi[i] = min(lo[i], r["lo"]), max(hi[i], r["hi"])
-    else:
-        rows = (
-            cells.groupBy("cell")
-            .agg(
-                F.count("*").alias("n"),
-                F.sum("y").alias("s"),
-                F.sum(F.col("y") * F.col("y")).alias("q"),
-                F.min("v").alias("lo"),
-                F.max("v").alias("hi"),
-            )
-            .orderBy("cell")
-            .collect()
-        )
-        table = np.array([[r["n"], r["s"], r["q"]] for r in rows], dtype=float)
-        lo, hi = np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
-    if len(lo) < 2:
-        return equal_width_edges(df, column, 2)
-    sums = np.vstack([np.zeros(table.shape[1]), np.cumsum(table, axis=0)])
-
-    def impurity(part: np.ndarray) -> np.ndarray:
-        if not classify:
-            n = np.maximum(part[..., 0], 1.0)
-            return part[..., 2] - part[..., 1] ** 2 / n
-        n = np.maximum(part.sum(axis=-1), 1.0)
-        share = part / n[..., None]
-        if criterion == "entropy":
-            return n * -(share * np.log2(np.where(share > 0, share, 1.0))).sum(axis=-1)
-        return n * (1.0 - (share**2).sum(axis=-1))
-
-    def best_split(a: int, b: int):
-        if b - a < 2:
-            return 0.0, -1
-        mids = np.arange(a + 1, b)
-        gain = impurity(sums[b] - sums[a]) - impurity(sums[mids] - sums[a]) - impurity(sums[b] - sums[mids])
-        i = int(np.argmax(gain))
-        return float(gain[i]), int(mids[i])
-
-    leaves = [(0, len(lo), *best_split(0, len(lo)))]
-    thresholds = []
-    while len(leaves) < max(2, bins):
-        top = max(leaves, key=lambda leaf: leaf[2])
-        if top[2] <= 1e-12:
-            break
-        a, b, _, mid = top
-        leaves.remove(top)
-        thresholds.append((hi[mid - 1] + lo[mid]) / 2.0)
-        leaves += [(a, mid, *best_split(a, mid)), (mid, b, *best_split(mid, b))]
+    rows = marked.select(number(df, column).alias("v"), "y")
+    thresholds = tree_thresholds(rows, classify, criterion or "gini", max(2, bins))
     if not thresholds:
         return equal_width_edges(df, column, 2)
-    return [-INF, *sorted(set(map(float, thresholds))), INF]
+    return [-INF, *sorted(set(thresholds)), INF]
 
 
 def chimerge_edges(df: DataFrame, column: str, target: str, bins: int) -> list[float]:
@@ -265,7 +148,8 @@ def chimerge_edges(df: DataFrame, column: str, target: str, bins: int) -> list[f
     require(df, target, "target_column")
     marked, _ = _classes(df, target, as_bins=True)
     held = marked.withColumn("v", number(df, column)).filter("v is not null and y is not null")
-    _check_classes(held, target)
+    if _distinct_upto(held, F.col("y"), CLASSES + 1) > CLASSES:
+        raise ParameterError(f"target {target!r} has over {CLASSES} classes")
     start = min(50, bins * 5, max(2, _distinct_upto(held, F.col("v"), 50)))
     edges = sorted(set(exact_quantiles(held, ["v"], np.linspace(0.0, 1.0, start + 1).tolist())["v"]))
     if len(edges) < 3:

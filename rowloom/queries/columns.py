@@ -434,22 +434,94 @@ def g2(t):
     return _bin_summary(out, "o_totalprice", "o_totalprice_binned")
 
 
-for _n, _m in (("g3_kmeans", "kmeans"), ("g4_jenks", "jenks")):
-
-    def _g(t, method=_m):
-        out = binning.auto_binning(t("orders"), "o_totalprice", method, 4)
-        return _bin_summary(out, "o_totalprice", "o_totalprice_binned")
-
-    query(_n)(_g)
-
-for _n, _m in (("g5_decision_tree", "tree"), ("g6_chimerge", "chimerge"), ("g7_mdlp", "mdlp")):
+@query("g3_kmeans")
+def g3(t):
+    out = binning.auto_binning(t("orders"), "o_totalprice", "kmeans", 4)
+    return _bin_summary(out, "o_totalprice", "o_totalprice_binned")
 
-    def _g(t, method=_m):
-        li = t("lineitem").withColumn("late", F.when(F.col("l_quantity") + F.col("l_linenumber") > 30, "y").otherwise("n"))
-        out = binning.auto_binning(li, "l_quantity", method, 4, target_column="late")
-        return _bin_summary(out, "l_quantity", "l_quantity_binned")
 
-    query(_n)(_g)
+def _jenks_sql(rows: str, k: int) -> str:
+    """Least squared deviation of the distinct values ``v`` (n rows each) in k classes, tried over all starts of the last class."""
+    layers = "".join(
+        f""", d{g} AS (SELECT j.pos, min(i.c + CASE WHEN i.pos < j.pos THEN greatest(j.q - i.q - (j.s - i.s) * (j.s - i.s) / (j.n - i.n), 0) END) AS c
+                       FROM p j JOIN (SELECT p.*, d{g - 1}.c FROM p JOIN d{g - 1} USING (pos)) i ON i.pos < j.pos AND i.pos >= {g - 1} GROUP BY j.pos)"""
+        for g in range(2, k + 1)
+    )
+    return f"""WITH w AS ({rows}), h AS (SELECT v, count(*)::double AS n FROM w WHERE v IS NOT NULL GROUP BY v),
+         p AS (SELECT row_number() OVER o AS pos, sum(n) OVER o AS n, sum(n * (v - m)) OVER o AS s, sum(n * (v - m) * (v - m)) OVER o AS q
+               FROM h, (SELECT avg(v) AS m FROM w) WINDOW o AS (ORDER BY v)),
+         d1 AS (SELECT pos, q - s * s / n AS c FROM p){layers}
+         SELECT round(log2(c), 6) AS cost FROM d{k} WHERE pos = (SELECT max(pos) FROM p)"""
+
+
+def _deviation(rows, v, label):
+    """Squared deviation of the rows of all bins from the bins' means, as a logarithm."""
+    centre = rows.agg(F.avg(v)).first()[0] or 0.0
+    x = F.col(v) - F.lit(centre)
+    each = rows.where(F.col(v).isNotNull()).groupBy(label).agg((F.sum(x * x) - F.sum(x) * F.sum(x) / F.count("*")).alias("q"))
+    return each.agg(F.round(F.log2(F.sum("q")), 6).alias("cost"))
+
+
+@query("g4_jenks", _jenks_sql("SELECT CAST(floor(o_totalprice / 200) AS DOUBLE) AS v FROM orders", 4))
+def g4(t):
+    rows = t("orders").select(F.floor(F.col("o_totalprice") / 200).cast("double").alias("v"))
+    return _deviation(binning.auto_binning(rows, "v", "jenks", 4), "v", "v_binned")
+
+
+@query("g4_jenks_price", "SELECT CAST(count(DISTINCT l_extendedprice) AS BIGINT) AS held, 4 AS bins, TRUE AS best FROM lineitem")
+def g4_price(t):
+    """Breaks of thousands of values: no break may gain from a move to a neighbouring value."""
+    rows = t("lineitem").select(F.col("l_extendedprice").alias("v"))
+    edges = binning.bin_edges(rows, "v", "jenks", 4)
+    own = rows.select("v", F.expr(" + ".join(f"int(v > {e!r})" for e in edges[1:-1])).alias("bin"))
+    bins = own.groupBy("bin").agg(F.avg("v").alias("m"), F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).alias("b")
+    after = bins.select((F.col("bin") - 1).alias("bin"), F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("low").alias("low2"))
+    # Moving one value to the other side changes the cost by its weighed distances to both means.
+    keep = lambda x, m1, n1, m2, n2: F.pow(F.col(x) - F.col(m1), 2) * F.col(n1) / (F.col(n1) - 1) <= F.pow(F.col(x) - F.col(m2), 2) * F.col(n2) / (F.col(n2) + 1) * (1 + 1e-12)
+    pairs = bins.join(after, "bin")
+    held = pairs.agg(F.bool_and(keep("high", "m", "n", "m2", "n2") & keep("low2", "m2", "n2", "m", "n")).alias("best"), (F.count("*") + 1).cast("int").alias("bins"))
+    return rows.agg(F.countDistinct("v").alias("held")).join(F.broadcast(held)).select("held", "bins", "best")
+
+
+LATE = "CASE WHEN l_quantity + l_linenumber > 30 THEN 'y' ELSE 'n' END"
+
+
+def _tree_sql(rows: str, leaves: int, entropy: bool = False) -> str:
+    """Bins of a best-first tree on (v, y): in each round all cuts of all leaves are scored from class counts."""
+    grow = "({0}) * log2(greatest({0}, 1))" if entropy else "({0}) * ({0})"
+    impurity = f"({grow.format('{n}')} - {{q}})" if entropy else "({n} - {q} / {n})"
+    side = lambda n, q: impurity.replace("{n}", n).replace("{q}", q)
+    out = f"""WITH w AS ({rows}), ks AS (SELECT DISTINCT y FROM w), vs AS (SELECT DISTINCT v FROM w),
+      h AS (SELECT vs.v, ks.y, coalesce(g.n, 0)::double AS n FROM vs, ks LEFT JOIN (SELECT v, y, count(*) AS n FROM w GROUP BY ALL) g ON g.v = vs.v AND g.y = ks.y),
+      l0 AS (SELECT '-inf'::double AS lo, 'inf'::double AS hi)"""
+    for i in range(leaves - 1):
+        out += f""",
+      c{i} AS (SELECT lo, hi, v, y, sum(n) OVER (PARTITION BY lo, y ORDER BY v) AS c, sum(n) OVER (PARTITION BY lo, y) AS t FROM h JOIN l{i} ON v > lo AND v <= hi),
+      s{i} AS (SELECT lo, hi, v, sum(c) AS nl, sum(t - c) AS nr, sum({grow.format('c')}) AS ql, sum({grow.format('t - c')}) AS qr, sum(t) AS n, sum({grow.format('t')}) AS q FROM c{i} GROUP BY ALL),
+      b{i} AS (SELECT lo, hi, v, {side('n', 'q')} - {side('nl', 'ql')} - {side('nr', 'qr')} AS gain FROM s{i} WHERE nr > 0 ORDER BY round(gain, 6) DESC, lo, v LIMIT 1),
+      l{i + 1} AS (SELECT l.lo, l.hi FROM l{i} l, b{i} b WHERE l.lo <> b.lo UNION ALL SELECT lo, v FROM b{i} UNION ALL SELECT v, hi FROM b{i})"""
+    return out + f" SELECT count(*) AS n, min(v) AS low, max(v) AS high FROM w JOIN l{leaves - 1} ON v > lo AND v <= hi GROUP BY lo"
+
+
+def _tree(t, column, method, target):
+    rows = t("lineitem").select(F.col(column).alias("v"), F.expr(target).alias("y"))
+    return _bin_summary(binning.auto_binning(rows, "v", method, 4, target_column="y"), "v", "v_binned")
+
+
+for _n, _m, _c, _y in (
+    ("g5_decision_tree", "tree", "l_quantity", LATE),
+    ("g7_mdlp", "mdlp", "l_quantity", LATE),
+    ("g5_decision_tree_price", "tree", "l_extendedprice", "l_returnflag || l_linestatus"),
+    ("g7_mdlp_price", "mdlp", "l_extendedprice", "CASE WHEN l_discount < 0.05 THEN l_returnflag ELSE l_linestatus END"),
+):
+    query(_n, _tree_sql(f"SELECT {_c} AS v, {_y} AS y FROM lineitem", 4, _m == "mdlp"))(lambda t, c=_c, m=_m, y=_y: _tree(t, c, m, y))
+
+
+@query("g6_chimerge")
+def g6(t):
+    li = t("lineitem").withColumn("late", F.expr(LATE))
+    out = binning.auto_binning(li, "l_quantity", "chimerge", 4, target_column="late")
+    return _bin_summary(out, "l_quantity", "l_quantity_binned")
 
 
 @query(
