@@ -65,12 +65,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_open_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This fixes the outcome of non-repeatable steps (range sampling, partition
-    numbering), cuts the lineage and survives the loss of executors.
+    numbering), cuts the lineage and survives the loss of executors. Inside
+    :class:`scratch` the table lives until the scope ends.
     """
     path = f"{shared_dir(df.sparkSession)}/rowloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` whose readers are all written themselves."""
+    path = df._written_to
+    _delete(df.sparkSession, path)
+    for scope in _open_scopes:
+        if path in scope:
+            scope.remove(path)
+
+
+class scratch:
+    """A scope whose written tables are deleted at its end, but for the ones that ``keep`` hands on.
+
+    What leaves the scope must read no other table of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        _open_scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written if it is not yet, owned by the surrounding scope if there is one."""
+        df = df if hasattr(df, "_written_to") else materialize(df)
+        _open_scopes[-1].remove(df._written_to)
+        if len(_open_scopes) > 1:
+            _open_scopes[-2].append(df._written_to)
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        for path in _open_scopes.pop():
+            _delete(self.spark, path)
