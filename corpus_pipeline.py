@@ -20,6 +20,8 @@ from rowloom.llm.queries import tokenizer_path
 from rowloom.session import materialize
 
 _P = "__stage_"
+#: Shortest repeated passage that is cut out: fifty words of four letters or fewer still fill it.
+PASSAGE_BYTES = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,24 +35,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of equal ids, the smallest row."""
-    found = materialize(jaccard.near_duplicates(docs.select("doc_id", "text")))
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(_P + "id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep[_P + "id"]), "left_semi")
-    twice = materialize(found.groupBy(F.col("doc_id").alias(_P + "id")).agg(F.count("*").alias("n")).where("n > 1").select(_P + "id"))
-    if twice.isEmpty():
-        return kept
-    # Rows that share an id; those without one are told apart by their text.
-    same = kept["doc_id"].eqNullSafe(twice[_P + "id"])
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text", "source", "lang")
-    first = kept.join(twice, same, "left_semi").withColumn(_P + "n", F.row_number().over(one)).where(F.col(_P + "n") == 1)
-    return kept.join(twice, same, "left_anti").unionByName(first.select(*docs.columns))
+    """Of each group of linked documents the one with the smallest id stays, those without an id coming last.
+
+    Documents are told apart by id and text, so other texts under the same id
+    are judged by themselves; of rows equal in both, the smallest stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    found = materialize(jaccard.near_duplicates(docs.select(key.alias(_P + "id"), "text"), id_col=_P + "id"))
+    own = found.where(f"{_P}id = component_id OR n_shingles = 0").groupBy(F.col(_P + "id").alias(_P + "key"))
+    own = materialize(own.agg(F.count("*").alias(_P + "n"), F.max("n_shingles").alias(_P + "size")))
+    keyed = docs.withColumn(_P + "id", key)
+    kept = keyed.join(own, keyed[_P + "id"] == own[_P + "key"])
+    again = F.col(_P + "n") > 1
+    one = Window.partitionBy(_P + "id").orderBy("source", "lang")
+    first = kept.where(again & (F.col(_P + "size") > 0)).withColumn(_P + "row", F.row_number().over(one)).where(F.col(_P + "row") == 1)
+    return kept.where(~again | (F.col(_P + "size") == 0)).select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that start anywhere else are cut out; documents left without a word go."""
+    """Passages of ``PASSAGE_BYTES`` that start anywhere else are cut out; documents left without a word go."""
     marked = docs.withColumn(_P + "id", F.struct("doc_id", F.xxhash64("text").alias("th")))
-    cut = suffixarray.dedupe_bytes(marked, id_col=_P + "id").where("n_removed > 0")
+    cut = suffixarray.dedupe_bytes(marked, id_col=_P + "id", window=PASSAGE_BYTES).where("n_removed > 0")
     # A cut inside a character leaves bytes that are no text; they are dropped.
     left = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
     cut = cut.select(F.col(f"{_P}id.doc_id").alias(_P + "id"), F.col(f"{_P}id.th").alias(_P + "key"), left.alias(_P + "text"))
