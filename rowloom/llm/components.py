@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import materialize
+from rowloom.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,8 +20,17 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("low"))
         moved = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         moved = materialize(moved)
+        discard(labels)
         far = moved.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = materialize(moved.join(far, "comp").select("node", "was", F.least("comp", "top").alias("comp")))
-        labels = new.select("node", "comp")
-        if new.where("was <> comp").isEmpty():
-            return labels
+        labels = materialize(moved.join(far, "comp").select("node", "was", F.least("comp", "top").alias("comp")))
+        discard(moved)
+        if labels.where("was <> comp").isEmpty():
+            discard(both)
+            return labels.select("node", "comp")
+        labels = _plain(labels)
+
+
+def _plain(labels: DataFrame) -> DataFrame:
+    out = labels.select("node", "comp")
+    out._written_to = labels._written_to
+    return out

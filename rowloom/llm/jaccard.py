@@ -24,6 +24,7 @@ null ids never name a component unless all its ids are null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm import textnum as T
 from rowloom.llm.components import components
-from rowloom.session import materialize
+from rowloom.session import discard, materialize, scratch
 
 PIECE = 1 << 20
 #: Size of the frequency sketch: counters, as a power of two, and counters in a row.
@@ -46,7 +47,7 @@ FAN_IN = 64
 LEVELS = (1, 2, 3, 4, 6, 8, 12)
 VERIFY_COST = 32.0
 LEADER_ROUNDS = 1
-#: Most hashes of wanted texts that are sent to all tasks to spare a shuffle of all texts.
+#: Most wanted texts whose numbers are sent to all tasks to spare a shuffle of all texts.
 BROADCAST_ROWS = 500_000
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -197,11 +198,15 @@ def shared_rows(found: DataFrame, reps: DataFrame) -> DataFrame:
     """The prefix rows (token, node, n, l, pos, met) of tokens that two nodes hold; met: rows of all the node's tokens."""
     w = Window.partitionBy("token")
     rows = found.withColumns({"low": F.min("node").over(w), "top": F.max("node").over(w), "held": F.count("*").over(w)}).where("low < top")
-    rows = materialize(rows.select("token", "node", "place", "held"))
-    one = rows.groupBy("token", "node").agg(F.max("place").alias("place"), F.max("held").alias("held"))  # copies of a node in several tasks
+    shared = materialize(rows.select("token", "node", "place", "held"))
+    one = shared.groupBy("token", "node").agg(F.max("place").alias("place"), F.max("held").alias("held"))  # copies of a node in several tasks
     place = F.shiftright("place", 8).cast("int").alias("pos"), F.col("place").bitwiseAND(255).cast("int").alias("l")
-    one = materialize(one.select("token", "node", *place, "held")).join(reps.select("node", "n"), "node")
-    return materialize(one.withColumn("met", F.sum("held").over(Window.partitionBy("node"))).drop("held"))
+    one = materialize(one.select("token", "node", *place, "held"))
+    discard(shared)
+    met = one.groupBy("node").agg(F.sum("held").alias("met")).join(reps.select("node", "n"), "node")
+    out = materialize(one.join(met, "node").drop("held"))
+    discard(one)
+    return out
 
 
 def room_for_overlap(n: tuple[str, str], level: tuple[str, str], pos: tuple[str, str], percent: int) -> str:
@@ -213,24 +218,29 @@ def room_for_overlap(n: tuple[str, str], level: tuple[str, str], pos: tuple[str,
     )
 
 
-def packed_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(node, hashes): the sorted shingle hashes of the nodes of some pairs."""
-    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    chosen = materialize(reps.join(wanted, "node", "left_semi").select("node", "id", "th"))
-    if chosen.count() <= BROADCAST_ROWS:  # eight bytes each
-        docs = docs.join(F.broadcast(chosen.select("th").distinct()), "th", "left_semi")
-    texts = docs.join(chosen, docs["id"].eqNullSafe(chosen["id"]) & (docs["th"] == chosen["th"])).select("node", "text")
+def packed_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """(node, hashes, is_x, is_y): the sorted shingle hashes of the nodes of some pairs, and the sides they stand on."""
+    side = lambda c, x: pairs.select(F.col(c).alias("node"), F.lit(x).alias("is_x"), F.lit(not x).alias("is_y"))
+    wanted = side("x", True).unionByName(side("y", False)).groupBy("node").agg(F.max("is_x").alias("is_x"), F.max("is_y").alias("is_y"))
+    chosen = materialize(reps.join(wanted, "node").select("node", "id", "th", "is_x", "is_y"))
+    # A few numbers a row, if ids are made of numbers: then the texts need not be shuffled.
+    sized = not re.search("string|binary|array|map", reps.schema["id"].dataType.simpleString())
+    small = sized and chosen.count() <= BROADCAST_ROWS
+    found = F.broadcast(chosen) if small else chosen
+    texts = docs.join(found, docs["id"].eqNullSafe(found["id"]) & (docs["th"] == found["th"])).select("node", "is_x", "is_y", "text")
+    names = ["node", "is_x", "is_y"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, at in _sets(batch, size):
                 packed = [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(lo, hi - lo), pa.array(packed, pa.binary())], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(batch[n].slice(lo, hi - lo) for n in names), pa.array(packed, pa.binary())], [*names, "hashes"])
 
-    return materialize(texts.mapInArrow(sets, "node bigint, hashes binary").dropDuplicates(["node"]))
+    packed = texts.mapInArrow(sets, "node bigint, is_x boolean, is_y boolean, hashes binary")
+    return materialize(packed.dropDuplicates(["node"]) if repeated else packed)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough, by their sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +252,15 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perc
                 same.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch["x"], batch["y"]], ["x", "y"]).filter(pa.array(same, pa.bool_()))
 
-    pairs = materialize(pairs.select("x", "y"))
-    packed = packed_sets(pairs, docs, reps, size)
-    left = packed.select(F.col("node").alias("x"), F.col("hashes").alias("hx"))
-    right = packed.select(F.col("node").alias("y"), F.col("hashes").alias("hy"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "hx", "hy").mapInArrow(compare, "x bigint, y bigint")
-    return materialize(both.distinct())
+    pairs = materialize(pairs.select("x", "y").distinct())
+    packed = packed_sets(pairs, docs, reps, size, repeated)
+    # Side x has few nodes with many pairs: the sets of side y move to them.
+    left = packed.where("is_x").select(F.col("node").alias("x"), F.col("hashes").alias("hx"))
+    right = packed.where("is_y").select(F.col("node").alias("y"), F.col("hashes").alias("hy"))
+    both = pairs.join(right, "y").join(left, "x").select("x", "y", "hx", "hy").mapInArrow(compare, "x bigint, y bigint")
+    out = materialize(both)
+    discard(packed)
+    return out
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -280,34 +293,40 @@ def least_overlap(n_a: str, n_b: str, percent: int) -> str:
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components with enough matches in their prefixes and room for the overlap.
 
-    Side a is the smaller set (on ties the smaller node). Sets of these two sizes need an overlap of ``o``, so with
-    ``l`` the lower of their two they meet ``l`` times within the first ``n - o + l`` of both. As ``o`` is least
-    for a partner of a's own size, a's rows beyond that shorter prefix take no part on side a.
+    Side a is the smaller set (on ties the smaller node). Sets of these two sizes need an overlap of ``o``. The first
+    shingle that they share has at most ``n - o`` others before it on either side, so pairs are listed by shingles
+    within the first ``n - o + 1`` only; as ``o`` is least for a partner of a's own size, a's rows beyond that take no
+    part on side a. Then the longer prefixes decide: with ``l`` the lower of the two, they have to meet ``l`` times.
     """
-    rows = materialize(rows.withColumn("leads", F.expr(f"pos <= n - {least_overlap('n', 'n', percent)} + l")))
-    ends = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.max("leads").alias("leads"))
+    own = least_overlap("n", "n", percent)
+    heads = rows.where(f"pos <= n - ceil(n * {percent} / 100.0) + 1").withColumn("leads", F.expr(f"pos <= n - {own} + 1"))
+    heads = materialize(heads.select("token", "node", "n", "pos", "comp", "leads"))
+    ends = heads.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.max("leads").alias("leads"))
     mixed = materialize(ends.where("low < top AND leads").select("token"))
-    rows = materialize(rows.join(mixed, "token", "left_semi"))
+    listed = materialize(heads.join(mixed, "token", "left_semi"))
+    discard(heads)
 
     def held(side: DataFrame, s: str) -> DataFrame:
-        aggs = [F.min("n").alias("short" + s), F.max("n").alias("long" + s), F.max("l").alias("l" + s), F.min("pos").alias("pos" + s)]
+        aggs = [F.min("n").alias("short" + s), F.max("n").alias("long" + s), F.min("pos").alias("pos" + s)]
         return materialize(side.groupBy("token", F.col("comp").alias("comp" + s)).agg(*aggs))
 
-    a, b = held(rows.where("leads"), "_a"), held(rows, "_b")
+    a, b = held(listed.where("leads"), "_a"), held(listed, "_b")
     met = a.join(b, "token").where("comp_a <> comp_b AND short_a <= long_b").where(f"100 * long_a >= {percent} * short_b")
-    both = f"least(l_a, l_b) - {least_overlap('short_a', 'short_b', percent)}"
-    met = met.where(f"pos_a <= long_a + {both} AND pos_b <= long_b + {both}")
-    met = materialize(met.select("token", "comp_a", "comp_b"))
-    side = lambda f, s: f.select("token", *(F.col(c).alias(c + s) for c in ("comp", "node", "n", "l", "pos")))
-    listed = met.join(side(rows.where("leads"), "_a"), ["token", "comp_a"]).join(side(rows, "_b"), ["token", "comp_b"])
-    listed = listed.where("n_a < n_b OR n_a = n_b AND node_a < node_b").where(f"100 * n_a >= {percent} * n_b")
-    both = f"least(l_a, l_b) - {least_overlap('n_a', 'n_b', percent)}"
-    listed = listed.where(f"pos_a <= n_a + {both} AND pos_b <= n_b + {both}")
-    counted = listed.groupBy("node_a", "node_b").agg(
-        F.count("*").alias("m"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "l_a", "l_b", "pos_a", "pos_b"))
-    )
-    room = f"m + least(n_a - pos_a, n_b - pos_b) >= {least_overlap('n_a', 'n_b', percent)}"
-    return counted.where("m >= least(l_a, l_b)").where(room).select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    least = least_overlap("short_a", "short_b", percent)
+    met = materialize(met.where(f"pos_a <= long_a - {least} + 1 AND pos_b <= long_b - {least} + 1").select("token", "comp_a", "comp_b"))
+    side = lambda f, s: f.select("token", *(F.col(c).alias(c + s) for c in ("comp", "node", "n", "pos")))
+    pairs = met.join(side(listed.where("leads"), "_a"), ["token", "comp_a"]).join(side(listed, "_b"), ["token", "comp_b"])
+    pairs = pairs.where("n_a < n_b OR n_a = n_b AND node_a < node_b").where(f"100 * n_a >= {percent} * n_b")
+    need_ = least_overlap("n_a", "n_b", percent)
+    pairs = pairs.where(f"pos_a <= n_a - {need_} + 1 AND pos_b <= n_b - {need_} + 1")
+    counted = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("m"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "pos_a", "pos_b")))
+    likely = materialize(counted.where(f"m + least(n_a - pos_a, n_b - pos_b) >= {need_}").select("node_a", "node_b"))
+    discard(listed)
+    prefix = materialize(rows.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.max("l").alias("l")))
+    whole = lambda s: prefix.select(*(F.col(c).alias(c + s) for c in ("node", "tokens", "l")))
+    both = likely.join(whole("_a"), "node_a").join(whole("_b"), "node_b")
+    met = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return both.where(met >= F.least("l_a", "l_b")).select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
 
 
 def near_duplicates(
@@ -315,9 +334,19 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: the smallest id that similar documents lead to."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    with scratch(docs.sparkSession) as scope:
+        out = scope.keep(_components(docs, size, percent, bits))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id")
+    )
+
+
+def _components(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """(id, n, component) of every row of (id, text, th)."""
     first = materialize(node_rows(docs, size, bits))
     members = first.where("block IS NULL").select("id", "th", "node", "n")
     counters = sketch_levels(first.where("block IS NOT NULL"), bits)
+    repeated = not members.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     reps = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "th")).alias("at"), F.min("n").alias("n"))
     reps = materialize(reps.select("node", "at.id", "at.th", "n"))
     rows = shared_rows(postings(docs, counters, size, percent), reps)
@@ -325,12 +354,9 @@ def near_duplicates(
     for turn in range(LEADER_ROUNDS + 1):
         marked = _labelled(rows, labels)
         pairs = leader_pairs(marked, percent, turn) if turn < LEADER_ROUNDS else cross_pairs(marked, percent)
-        new = verified(pairs, docs, reps, size, percent)
+        new = verified(pairs, docs, reps, size, percent, repeated)
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     named = materialize(_labelled(members, labels).where("node IS NOT NULL").groupBy("comp").agg(F.min("id").alias("component")))
     nodes = materialize(_labelled(reps.select("node"), labels).join(named, "comp").select("node", "component"))
-    out = members.join(nodes, "node", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id")
-    )
+    return members.join(nodes, "node", "left").select("id", "n", "component")
