@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import textnum as T
-from rowloom.session import materialize
+from rowloom.session import discard, materialize, scratch
 
 PIECE = 2 << 20
 RUN = "array<struct<a:int,b:int>>"
@@ -83,11 +83,15 @@ def runs_of(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.mapInArrow(work, f"id {kind}, th bigint, anchor bigint, content bigint, first int, width int")
 
 
-def candidates(docs: DataFrame, unit: Unit) -> DataFrame:
-    """The runs whose anchor occurs at least twice."""
+def candidates(docs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """The runs whose anchor occurs at least twice, and the (id, th) that several rows share."""
     runs = materialize(runs_of(docs, unit))
+    # Every row long enough has one run that begins with it.
+    twice = materialize(runs.where("first = 0").groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select("id", "th"))
     often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    return materialize(runs.join(often, "anchor", "left_semi"))
+    out = materialize(runs.join(often, "anchor", "left_semi"))
+    discard(runs)
+    return out, twice
 
 
 def distinct_snippets(found: DataFrame) -> DataFrame:
@@ -96,7 +100,17 @@ def distinct_snippets(found: DataFrame) -> DataFrame:
         found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "width")).alias("at"))
     )
     sizes = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("members")))
-    return materialize(distinct.join(sizes, "anchor"))
+    out = materialize(distinct.join(sizes, "anchor"))
+    discard(distinct)
+    return out
+
+
+def each_once(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """The documents with one row for each id and text, given those that several rows share."""
+    if twice.isEmpty():
+        return docs
+    rest = docs.join(twice, _same_row(docs, twice), "left_anti")
+    return rest.unionByName(docs.join(twice, _same_row(docs, twice), "left_semi").dropDuplicates(["id", "th"]))
 
 
 def with_units(docs: DataFrame, distinct: DataFrame, unit: Unit) -> DataFrame:
@@ -131,8 +145,6 @@ def solved(shipped: DataFrame, solver: Solver, window: int, groups: int) -> Data
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        _, once = np.unique(np.stack([table[n].to_numpy() for n in ("anchor", "content")], 1), axis=0, return_index=True)
-        table = table.take(pa.array(once))  # a repeated row of documents brings its snippets twice
         widths = table["width"].to_numpy().astype(np.int64)
         mask = solver(table["copies"].to_numpy(), widths, table["units"].to_pylist())
         return answer(table["anchor"].combine_chunks(), table["content"].combine_chunks(), widths, mask, window)
@@ -165,15 +177,18 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, split: Callable[
     ``members`` bounds the distinct snippets of an anchor that meet in one
     group; ``split`` answers for anchors with more, with the same result.
     """
-    found = candidates(docs, unit)
-    distinct = distinct_snippets(found)
-    size = distinct.agg(F.sum(F.col("at.width") + unit.window)).first()[0] or 0
-    groups = max(1, -(-size * (7 if unit.words else 1) // group_bytes))
-    small, large = distinct.where(F.col("members") <= members), distinct.where(F.col("members") > members)
-    verdict = solved(with_units(docs, small, unit), solver, unit.window, groups)
-    if not large.isEmpty():
-        verdict = verdict.unionByName(split(with_units(docs, large, unit)))
-    return covered(docs, found, materialize(verdict))
+    with scratch(docs.sparkSession) as scope:
+        found, twice = candidates(docs, unit)
+        distinct = distinct_snippets(found)
+        size = distinct.agg(F.sum(F.col("at.width") + unit.window)).first()[0] or 0
+        groups = max(1, -(-size * (7 if unit.words else 1) // group_bytes))
+        small, large = distinct.where(F.col("members") <= members), distinct.where(F.col("members") > members)
+        once = each_once(docs, twice)
+        verdict = solved(with_units(once, small, unit), solver, unit.window, groups)
+        if not large.isEmpty():
+            verdict = verdict.unionByName(split(with_units(once, large, unit)))
+        spans = scope.keep(covered(found, materialize(verdict)))
+    return docs.alias("d").join(spans.alias("l"), _same_row(docs, spans), "left").select("d.id", "d.text", "l.spans")
 
 
 def mask_runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,13 +216,12 @@ def answer(anchor, content, widths: np.ndarray, mask: np.ndarray, window: int) -
     return pa.Table.from_arrays([pa.array(anchor).take(at), pa.array(content).take(at), lists], ["anchor", "content", "spans"])
 
 
-def covered(docs: DataFrame, found: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Per document: the unit ranges to remove."""
+def covered(found: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Per document (id, th): the unit ranges to remove."""
     hits = found.join(verdict, ["anchor", "content"])
     spans = F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
     each = hits.select("id", "th", spans.alias("spans"))
-    listed = each.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return docs.alias("d").join(listed.alias("l"), _same_row(docs, listed), "left").select("d.id", "d.text", "l.spans")
+    return each.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: np.ndarray, n: int) -> np.ndarray:

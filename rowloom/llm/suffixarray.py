@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm import repeats as R
+from rowloom.session import materialize
 
 #: Distinct snippets of one anchor, and bytes of snippets, that meet in one shard.
 MEMBERS = 4096
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Windows that one task merges.
 SLOT_ROWS = 200_000
 #: Symbols (a byte plus one, or 0 for the end of a snippet) in a first key of 63 bits.
@@ -34,9 +35,9 @@ def joined(units: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all snippets, a 0 after each; each snippet's first place; bytes left at each place."""
     lengths = np.array([len(u) for u in units], np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    text = np.frombuffer(b"\0".join([*units, b""]), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\0".join([*units, b""]), np.uint8).astype(np.int16) + 1
     text[ends] = 0
-    left = np.repeat(ends, lengths + 1) - np.arange(len(text))
+    left = (np.repeat(ends, lengths + 1) - np.arange(len(text))).astype(np.int32)
     return text, ends - lengths, left
 
 
@@ -47,18 +48,19 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     that starts as many symbols later as they are known to agree in.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(FIRST, np.int64)])
+    padded = np.concatenate([text, np.zeros(FIRST, text.dtype)])
     key = np.zeros(n, np.int64)
     for j in range(FIRST):
-        key = key << 9 | padded[j : n + j]
-    order = np.argsort(key, kind="stable")
-    rank, open_ = np.empty(n, np.int64), order
-    place = np.arange(n)
+        key <<= 9
+        key |= padded[j : n + j]
+    order = np.argsort(key, kind="stable").astype(np.int32)  # a shard is far below 2 GB
+    rank, open_ = np.empty(n, np.int32), order
+    place = np.arange(n, dtype=np.int32)
     sorted_key, agree = key[order], FIRST
     while True:
         new = np.ones(len(open_), bool)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
-        group = place[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        group = place[np.maximum.accumulate(np.where(new, np.arange(len(open_), dtype=np.int32), 0))]
         rank[open_] = group
         order[place] = open_
         alone = new & np.append(new[1:], True)
@@ -66,7 +68,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if agree >= depth or not len(open_):
             return order
         later = open_ + agree
-        key = rank[open_] * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
+        key = rank[open_].astype(np.int64) * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
         by = np.argsort(key, kind="stable")
         open_, sorted_key = open_[by], key[by]
         agree *= 2
@@ -82,13 +84,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, left: np.ndarray, most:
     holds between the same two passages.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(8, np.int64)]) - 1
+    padded = np.concatenate([text, np.zeros(8, text.dtype)]) - 1
     packed = np.zeros(n, np.uint64)
     for j in range(8):
-        packed = packed << np.uint64(8) | (padded[j : n + j] & 255).astype(np.uint64)
-    shared = np.zeros(n, np.int64)
+        packed <<= np.uint64(8)
+        packed |= (padded[j : n + j] & 255).astype(np.uint64)
+    shared = np.zeros(n, np.int32)
     step = 64
     while step:
         at = np.arange(0, n, step) if step == 64 else np.arange(step, n, 2 * step)
@@ -151,7 +154,11 @@ def search_other_shards(shards: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def merged_shards(unit: R.Unit, members: int):
-    """For anchors with many snippets: suffix arrays of several shards, then binary search between them."""
+    """For anchors with many snippets: suffix arrays of several shards, then binary search between them.
+
+    Shards send each of their windows' hashes once, however often it stands
+    in them; what other shards hold too is joined back to the windows.
+    """
     kind = np.dtype([("a", np.int64), ("b", np.int64)])
 
     def local(table: pa.Table) -> pa.Table:
@@ -166,29 +173,23 @@ def merged_shards(unit: R.Unit, members: int):
     def merge(table: pa.Table) -> pa.Table:
         keys = np.empty(table.num_rows, kind)
         keys["a"], keys["b"] = table["ha"].to_numpy(), table["hb"].to_numpy()
-        shard, mask = table["shard"].to_numpy(), table["local"].to_numpy().copy()
-        places, arrays = [], []
-        for s in np.unique(shard).tolist():
-            mine = np.flatnonzero(shard == s)
-            mine = mine[np.argsort(keys[mine])]
-            head = np.ones(len(mine), bool)
-            head[1:] = keys[mine[1:]] != keys[mine[:-1]]
-            places.append(mine[head])  # others of an equal group repeat already
-            arrays.append(keys[mine[head]])
-        for where, mark in zip(places, search_other_shards(arrays)):
-            mask[where] |= mark
-        return table.select(["anchor", "content", "rel"]).filter(pa.array(mask))
+        shard = table["shard"].to_numpy()
+        arrays = [np.sort(keys[shard == s]) for s in np.unique(shard).tolist()]
+        both = np.unique(np.concatenate([mine[mark] for mine, mark in zip(arrays, search_other_shards(arrays))]))
+        return pa.table({"ha": both["a"], "hb": both["b"]})
 
     def split(shipped: DataFrame) -> DataFrame:
-        once = shipped.dropDuplicates(["anchor", "content"])
-        size = once.agg(F.count("*"), F.sum("width")).first()
+        shipped = materialize(shipped)
+        size = shipped.agg(F.count("*"), F.sum("width")).first()
         shards, slots = max(1, -(-size[0] // members)), max(1, -(-(size[1] or 0) // SLOT_ROWS))
-        dealt = once.withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)))
-        rows = dealt.groupBy("shard").applyInArrow(
-            local, "shard bigint, anchor bigint, content bigint, rel int, local boolean, ha bigint, hb bigint"
+        dealt = shipped.withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)))
+        rows = materialize(
+            dealt.groupBy("shard").applyInArrow(local, "shard bigint, anchor bigint, content bigint, rel int, local boolean, ha bigint, hb bigint")
         )
-        slot = rows.withColumn("slot", F.pmod("ha", F.lit(slots)))
-        return R.placed(slot.groupBy("slot").applyInArrow(merge, "anchor bigint, content bigint, rel int"), unit.window)
+        once = rows.select("shard", "ha", "hb").distinct().withColumn("slot", F.pmod("ha", F.lit(slots)))
+        shared = materialize(once.groupBy("slot").applyInArrow(merge, "ha bigint, hb bigint"))
+        hits = rows.where("local").unionByName(rows.where("NOT local").join(shared, ["ha", "hb"], "left_semi").select(*rows.columns))
+        return R.placed(hits, unit.window)
 
     return split
 

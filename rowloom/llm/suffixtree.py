@@ -103,8 +103,7 @@ def whole_window_prefixes(unit: R.Unit):
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "copies", "rel", "ha", "hb"])
 
     def split(shipped: DataFrame) -> DataFrame:
-        once = shipped.dropDuplicates(["anchor", "content"])
-        rows = once.mapInArrow(work, "anchor bigint, content bigint, copies bigint, rel int, ha bigint, hb bigint")
+        rows = shipped.mapInArrow(work, "anchor bigint, content bigint, copies bigint, rel int, ha bigint, hb bigint")
         often = rows.groupBy("ha", "hb").agg(F.sum("copies").alias("n")).where("n > 1").select("ha", "hb")
         return R.placed(rows.join(often, ["ha", "hb"], "left_semi"), unit.window)
 
