@@ -26,8 +26,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks whose results a Python worker keeps.
-KEPT_CHUNKS = 700_000
+#: Bytes of chunks and their results that a Python worker keeps, about, and what an entry takes besides its characters.
+KEPT_BYTES = 128 << 20
+ENTRY_BYTES = 320
 NO_MERGE = (1 << 60, -1)
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -64,6 +65,8 @@ class Tokenizer:
         self.known = np.zeros(0, np.int64)
         self.apart = np.zeros(0, bool)
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     def start(self, word: str) -> list[int]:
         """Ids of the single characters; the last carries the word end."""
@@ -182,18 +185,24 @@ class Tokenizer:
         words = dict(zip(words, self.encode_words(list(words))))
         for chunk, out in zip(chunks, parts):
             ids = [i for x in out for i in (words[x] if isinstance(x, str) else x)]
-            self.chunks[chunk] = (len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids))
+            self.chunks[chunk] = kept = (len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids))
+            self.held += ENTRY_BYTES + len(chunk) + len(kept[1]) + len(kept[2])
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of tokens, their ids joined by a space, and the decoded text (tokens joined by a space)."""
         cut = [_WHITE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
-        kept = self.chunks
-        seen = set().union(*cut)
-        new = seen.difference(kept)
-        if len(kept) + len(new) > KEPT_CHUNKS:
-            kept.clear()
-            new = seen
-        self.learn(list(new))
+        if self.held > KEPT_BYTES // 2:
+            # The results of the generation before go; those still used move on when they are met again.
+            self.older, self.chunks, self.held = self.chunks, {}, 0
+        kept, older = self.chunks, self.older
+        new = []
+        for chunk in set().union(*cut).difference(kept):
+            if chunk in older:
+                kept[chunk] = was = older[chunk]
+                self.held += ENTRY_BYTES + len(chunk) + len(was[1]) + len(was[2])
+            else:
+                new.append(chunk)
+        self.learn(new)
         out = []
         for chunks in cut:
             found = [f for f in map(kept.__getitem__, chunks) if f[0]]
