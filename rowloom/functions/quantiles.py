@@ -42,8 +42,10 @@ def exact_quantiles(
         return {}
     names = [f"v{i}" for i in range(len(columns))]
     values = df.select(*[number(df, c).alias(n) for c, n in zip(columns, names)])
-    counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
-    small = [n for n in names if counts[n] <= direct_rows]
+    endless = [F.count(F.when(F.abs(n) == F.lit(float("inf")), 1)).alias(f"i{n}") for n in names]
+    counts = values.agg(*[F.count(n).alias(n) for n in names], *endless).first()
+    # Spark's percentile subtracts infinite neighbours to NaN, so columns that hold any are read by rank.
+    small = [n for n in names if counts[n] <= direct_rows and not counts[f"i{n}"]]
     found: dict[str, list[float | None]] = {}
     if small:
         row = values.agg(*[F.percentile(F.col(n), probabilities).alias(n) for n in small]).first()
@@ -61,10 +63,15 @@ def exact_quantiles(
         if n not in few:
             held = values.select(F.col(n).alias("v")).filter("v is not null")
             at.update({(n, r): v for r, v in _ranked(held, ranks[n]).items()})
-        found[n] = [at[n, low] + (at[n, high] - at[n, low]) * share for low, high, share in spans[n]]
+        found[n] = [_between(at[n, low], at[n, high], share) for low, high, share in spans[n]]
     return {c: found[n] for c, n in zip(columns, names)}
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Between two neighbouring values; equal ones, infinite too, are the answer themselves."""
+    return a if a == b or not share else a + (b - a) * share
+
+
 def _span(p: float, n: int) -> tuple[int, int, float]:
     """The two ranks a quantile lies between, and how far."""
     at = p * (n - 1)
@@ -204,4 +211,5 @@ def grouped_quantile(
     hits = ranked.join(side, same).filter(holds(low) | holds(high))
     a = F.max(F.when(holds(low), F.col("__v")))
     b = F.max(F.when(holds(high), F.col("__v")))
-    return hits.groupBy(*names).agg((a + (b - a) * F.max(at - low)).alias(into))
+    share = F.max(at - low)
+    return hits.groupBy(*names).agg(F.when((a == b) | (share == 0), a).otherwise(a + (b - a) * share).alias(into))

@@ -24,6 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.correlation import pair_correlations
 from rowloom.functions.guards import ParameterError, data_columns, is_number, number, quoted, require, type_of
 from rowloom.learning.features import MAX_CATEGORIES, clean_target, feature_pipeline, split
 from rowloom.learning.metrics import classification_metrics, davies_bouldin, regression_metrics
@@ -238,10 +239,10 @@ def correlation_importance(df: DataFrame, features: list[str], label: str = "lab
     numeric = [c for c in features if is_number(type_of(df, c))]
     if not numeric:
         return []
-    y = number(df, label)
-    row = df.agg(*[F.corr(number(df, c), y).alias(f"r{i}") for i, c in enumerate(numeric)]).first()
-    rows = [{"feature": c, "importance": abs(r)} for c, r in zip(numeric, row) if r is not None and r == r and r != 0]
-    return sorted(rows, key=lambda r: -r["importance"])
+    others = [c for c in numeric if c != label]
+    found = pair_correlations(df, {c: number(df, c) for c in [*others, label]}, [label]).where("r <> 0").collect()
+    rows = [{"feature": p["a"], "importance": abs(p["r"])} for p in found]
+    return sorted(rows, key=lambda r: (-r["importance"], others.index(r["feature"])))
 
 
 def vif_table(df: DataFrame, features: list[str]) -> DataFrame:

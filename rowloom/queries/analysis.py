@@ -266,15 +266,34 @@ def k6(t):
     return df.limit(1).select(F.lit(found["quality_score"]).alias("quality_score"))
 
 
-@query("k7_k8_k11_k12_profile_rules")
+@query(
+    "k7_k8_k11_k12_profile_rules",
+    """WITH x AS (SELECT c_nationkey AS n_nationkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal,
+                      c_acctbal * c_acctbal + c_nationkey AS c_double, c_mktsegment, 7 AS fixed, c_name FROM customer),
+            m AS (SELECT count(*)::double AS n, corr(n_nationkey, c_acctbal) AS a, corr(n_nationkey, c_double) AS b, corr(c_acctbal, c_double) AS c,
+                         count(c_acctbal) / count(*) AS held, count(DISTINCT c_mktsegment) AS classes FROM x),
+            s AS (SELECT skewness(n_nationkey) AS k, skewness(c_acctbal) AS a, skewness(c_double) AS d FROM x),
+            t AS (SELECT unnest(['n_nationkey', 'c_acctbal', 'c_double']) AS col, unnest([greatest(abs(a), abs(b)), greatest(abs(a), abs(c)) * held, greatest(abs(b), abs(c))]) AS v FROM m)
+       SELECT 'target' AS kind, max_by(col, v) AS fact FROM t
+       UNION ALL SELECT 'validation', 'random, ' || greatest(2, least(10, floor(n / 50)))::int || ' folds' FROM m
+       UNION ALL SELECT 'step', 'delete_columns fixed constant'
+       UNION ALL SELECT 'step', 'delete_columns c_name key'
+       UNION ALL SELECT 'step', 'fill_missing c_acctbal median' FROM m WHERE held < 1
+       UNION ALL SELECT 'step', 'encode_categorical c_mktsegment ' || CASE WHEN classes <= 30 THEN 'one_hot' ELSE 'label' END FROM m
+       UNION ALL SELECT 'step', 'scale_numeric n_nationkey ' || CASE WHEN abs(k) >= 1 THEN 'log' ELSE 'z_score' END FROM s
+       UNION ALL SELECT 'step', 'scale_numeric c_acctbal ' || CASE WHEN abs(a) >= 1 THEN 'log' ELSE 'z_score' END FROM s
+       UNION ALL SELECT 'step', 'scale_numeric c_double ' || CASE WHEN abs(d) >= 1 THEN 'log' ELSE 'z_score' END FROM s""",
+)
 def k7(t):
-    df = t("customer")
+    bal = F.col("c_acctbal")
+    df = t("customer").select(
+        F.col("c_nationkey").alias("n_nationkey"), F.when(bal >= 0, bal).alias("c_acctbal"), (bal * bal + F.col("c_nationkey")).alias("c_double"), "c_mktsegment",
+        F.lit(7).alias("fixed"), "c_name",
+    )
     found = profile.profile(df)
-    facts = [("target", str(found["target_profile"]["suggested_target"])), ("domain", found["semantic_context"]["primary_domain"])]
-    facts += [("risk", found["risk"]["risk_level"]), ("validation", found["validation_strategy"]["recommended_method"])]
-    facts += [("encoding", f"{e['column']}: {e['strategy']}") for e in found["encoding_plan"]]
-    facts += [("scaling", c) for c in found["scaling_candidates"]]
-    facts += [("recommendation", r) for r in found["recommendations"]]
+    facts = [("target", found["target_profile"]["suggested_target"])]
+    facts += [("validation", f"{found['validation']['method']}, {found['validation']['folds']} folds")]
+    facts += [("step", f"{s['op']} {s['column']} {s['how']}") for s in found["suggested_steps"]]
     return df.sparkSession.createDataFrame(facts, "kind string, fact string")
 
 
