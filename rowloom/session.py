@@ -122,3 +122,5 @@ class scratch:
     def __exit__(self, *_: object) -> None:
         for path in _open_scopes.pop():
             _delete(self.spark, path)
+        # Spark drops the shuffle files of finished steps once the driver collects their plans.
+        self.spark.sparkContext._jvm.System.gc()
