@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 #: Bytes of chunks and their results that a Python worker keeps, about, and what an entry takes besides its characters.
 KEPT_BYTES = 128 << 20
 ENTRY_BYTES = 320
+#: Pairs of tokens whose check a worker keeps.
+KEPT_PAIRS = 2_800_000
 NO_MERGE = (1 << 60, -1)
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -136,7 +138,7 @@ class Tokenizer:
         have[have] = self.known[at[have]] == wanted[have]
         fresh = wanted[~have]
         if len(fresh):
-            if len(self.known) + len(fresh) > 4 * KEPT_CHUNKS:
+            if len(self.known) + len(fresh) > KEPT_PAIRS:
                 self.known, self.apart = self.known[:0], self.apart[:0]
                 fresh = wanted
             verdict = [self._apart(p >> 32, p & 0xFFFFFFFF) for p in fresh.tolist()]
