@@ -24,7 +24,7 @@ from rowloom.session import materialize
 
 #: Distinct snippets of one anchor, and bytes of snippets, that meet in one shard.
 MEMBERS = 4096
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Windows that one task merges.
 SLOT_ROWS = 200_000
 #: Symbols (a byte plus one, or 0 for the end of a snippet) in a first key of 63 bits.
