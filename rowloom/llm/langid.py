@@ -1,11 +1,16 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has a model of the characters of its words, up to ``ORDER`` at a
-time. Counts cover all training texts: tasks count the character groups of
-their distinct words, and the counts are added up by group. A group that makes
-up less than one in ``RARE`` of its language's counts is left out of the
-model, so a language has at most ``RARE`` groups however large the corpus is,
-which bounds what is broadcast. Probabilities stand in sorted hash arrays.
+time, over all character groups of its training texts. Counts, continuation
+counts, discounts and totals are aggregates; the probabilities and the weights
+of the shorter groups stand in sorted hash arrays, one for each range of
+hashes, so a model may outgrow every executor.
+
+Only distinct things are looked up: the groups of the distinct words of the
+texts meet the arrays of their ranges, and give the bits of each word in each
+language. Texts then add up the bits of their words: of the commonest words
+from a table of at most ``COMMON_BYTES`` that every task holds, of all others
+by a join of (text, word).
 
 A text belongs to the language of least cross-entropy per character. Texts
 are also scored by models that did not see them, a fourth of the training
@@ -14,33 +19,49 @@ above which a text is marked as rejected.
 
 Cases: texts that are null or have no letter are ``und`` with score 0; ties
 go to the first language in order; rows with null text or language teach
-nothing; with nothing to learn from, all texts are ``und``.
+nothing; with nothing to learn from, all texts are ``und``; repeated rows and
+ids are scored each; other columns are ignored, whatever their names. Words
+and character groups are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.textnum import mix
-from rowloom.session import materialize
+from rowloom.session import materialize, scratch
 
 ORDER = 5
-#: Bound on the character groups of a language, as the inverse of the least share of its counts.
-RARE = 500_000
 UNKNOWN = "und"
 #: Share of training texts of a language whose entropy may lie above its limit.
 REJECTED = 0.001
 SHARPNESS = [0.5, 1, 2, 4, 8, 16, 32, 64]
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Bound on the table of common words in every task; it decides how words are looked up, not what is found.
+COMMON_BYTES = 8 << 20
+#: Keys in one range of hashes, on average.
+RANGE_KEYS = 200_000
 PIECE_ROWS = 500
+#: Letters are what Unicode calls so; ``\w`` also takes numbers that are not digits.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+
+
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64)
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,137 +82,231 @@ def hashes(grams: np.ndarray) -> np.ndarray:
     return h
 
 
-def distinct_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of some words, and for each window of each word its number and the word."""
+def distinct_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct groups of some words, and for each window of each word the group's number and the word."""
     grams, owner = padded(words)
     _, first, number = np.unique(hashes(grams), return_index=True, return_inverse=True)
-    return grams[first], number, owner
+    text = np.ascontiguousarray(grams[first]).tobytes().decode("utf-32-le")
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], number, owner
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, held, text) to counts (lang, gram, n, n_rest): ``n_rest`` without the held texts."""
-
-    def emit(counts: dict[tuple[str, bool], Counter]) -> Iterator[pa.RecordBatch]:
-        for (lang, held), words in counts.items():
-            if not words:
-                continue
-            grams, number, owner = distinct_grams(list(words))
-            n = np.bincount(number, np.fromiter(words.values(), np.int64, len(words))[owner], len(grams)).astype(np.int64)
-            text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
-            names = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
-            rest = n if not held else np.zeros_like(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(names), pa.array(n), pa.array(rest)], ["lang", "gram", "n", "n_rest"])
+def count_words(docs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Texts to counts (by, word, n)."""
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in by)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, bool], Counter] = {}
-            for lang, held, text in zip(batch["lang"].to_pylist(), batch["held"].to_pylist(), batch["text"]):
-                counts.setdefault((lang, held), Counter()).update(_WORDS.findall(text.as_py().lower()))
-            yield from emit(counts)
-
-    parts = docs.mapInArrow(work, "lang string, gram string, n bigint, n_rest bigint")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest"))
+            counts: dict[tuple, Counter] = {}
+            groups = zip(*(batch[n].to_pylist() for n in by)) if by else [()] * batch.num_rows
+            for group, text in zip(groups, batch["text"]):
+                if text.is_valid:
+                    counts.setdefault(group, Counter()).update(words_of(text.as_py()))
+            for group, words in counts.items():
+                own = [pa.array([g] * len(words), batch.schema.field(n).type) for g, n in zip(group, by)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], [*by, "word", "n"])
 
+    parts = docs.select(*by, "text").mapInArrow(work, ", ".join([*([kinds] if by else []), "word string, n bigint"]))
+    return parts.groupBy(*by, "word").agg(F.sum("n").alias("n"))
 
-@dataclass
-class Table:
-    """A sorted hash array with a value for each hash."""
 
-    keys: np.ndarray
-    values: np.ndarray
+def count_grams(words: DataFrame) -> DataFrame:
+    """(lang, held, word, n) to counts (lang, gram, n, n_rest): ``n_rest`` without the held texts."""
 
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
-        order = np.argsort(keys)
-        return cls(keys[order], values[order].astype(np.float32))
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), default)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], default)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch["lang"].to_pylist(), object)
+            n, held = batch["n"].to_numpy(), np.array(batch["held"].to_pylist(), bool)
+            for lang in set(langs):
+                mine = np.flatnonzero(langs == lang)
+                names, number, owner = distinct_grams(batch["word"].take(pa.array(mine)).to_pylist())
+                both = [np.bincount(number, x[owner], len(names)).astype(np.int64) for x in (n[mine], np.where(held[mine], 0, n[mine]))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), *map(pa.array, both)], ["lang", "gram", "n", "n_rest"])
+
+    parts = words.mapInArrow(work, "lang string, gram string, n bigint, n_rest bigint")
+    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest"))
 
 
+@dataclass
 class Model:
-    """Interpolated Kneser-Ney model of one language."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, discount: float):
-        """``grams``: distinct windows of ``ORDER`` code points; ``discount`` of the highest order."""
-        self.levels: list[tuple[Table, Table]] = []
-        self.letters = max(1, len(np.unique(grams[:, -1]))) + 1
-        levels = []
-        for order in range(ORDER, 0, -1):
-            if order < ORDER:  # how many different characters come before
-                grams, counts = grams[:, 1:], np.ones(len(grams), np.int64)
-                _, first, number = np.unique(hashes(grams), return_index=True, return_inverse=True)
-                counts = np.bincount(number, counts).astype(np.int64)
-                grams = grams[first]
-                once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-                discount = once / (once + 2 * twice) if once and twice else 0.75
-            context = hashes(grams[:, :-1])
-            names, number = np.unique(context, return_inverse=True)
-            total = np.bincount(number, counts)
-            kept = np.maximum(counts - discount, 0) / total[number]
-            levels.append((Table.of(hashes(grams), kept), Table.of(names, 1 - np.bincount(number, kept))))
-        self.levels = levels[::-1]
-
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """Bits of the last character of each window after the others."""
-        p = np.full(len(grams), 1 / self.letters)
-        for order, (own, back) in enumerate(self.levels, 1):
-            tail = grams[:, ORDER - order :]
-            p = own.get(hashes(tail), 0.0) + back.get(hashes(tail[:, :-1]), 1.0) * p
-        return -np.log2(np.maximum(p, 1e-9))
-
-
-def build_models(counts: DataFrame, rare: int) -> dict[str, dict[str, Model]]:
-    """Models of all texts and of those not held back, by language."""
-    totals = counts.groupBy("lang").agg(
-        F.sum("n").alias("total"), *(F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in ("n", "n_rest") for k in (1, 2))
-    )
-    common = counts.join(totals, "lang").where(F.col("n") * rare >= F.col("total")).toArrow()
-    out: dict[str, dict[str, Model]] = {"n": {}, "n_rest": {}}
-    langs = np.array(common["lang"].to_pylist(), object)
-    points = np.frombuffer("".join(common["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    for lang in sorted(set(langs)):
-        mine = np.flatnonzero(langs == lang)
-        for c in out:
-            n = common[c].to_numpy()[mine]
-            once, twice = (common[f"{c}{k}"][int(mine[0])].as_py() for k in (1, 2))
-            if n.sum():
-                out[c][lang] = Model(points[mine][n > 0], n[n > 0], once / (once + 2 * twice) if once and twice else 0.75)
-    return out
-
-
-def entropies(docs: DataFrame, models: dict[str, Model], keep: tuple[str, ...]) -> DataFrame:
-    """Adds ``bits``: cross-entropy per character under each model in order of language, null without letters."""
-    kinds = {n: docs.schema[n].dataType.simpleString() for n in keep}
-    shared = docs.sparkSession.sparkContext.broadcast([models[k] for k in sorted(models)])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    """Languages in order, the code points each may meet, and the sorted hash arrays of all of them.
+
+    ``store`` has a row for each range of hashes: the keys in order, and for
+    each key one number per language.
+    """
+
+    langs: list[str]
+    letters: list[int]
+    store: DataFrame
+    ranges: int
+
+
+def _key(kind: str, order: int | Column, gram: Column) -> Column:
+    """Hash of a group (``own``) or of what stands before a character (``back``)."""
+    order = F.lit(order) if isinstance(order, int) else order
+    return F.xxhash64(F.lit(kind), order.cast("int"), gram)
+
+
+def _range(ranges: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(ranges).cast("long"), 31).cast("int")
+
+
+def _packed(part: pa.Table) -> pa.Table:
+    keys = part["key"].to_numpy()
+    order = np.argsort(keys)
+    values = part["values"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+    arrays = [pa.array([x.tobytes()], pa.binary()) for x in (keys[order], values[order])]
+    return pa.Table.from_arrays([part["range"].slice(0, 1), *arrays], ["range", "keys", "values"])
+
+
+def build_model(counts: DataFrame) -> Model:
+    """Interpolated Kneser-Ney models from counts (lang, gram, n) of groups of ``ORDER``."""
+    level = counts.where("n > 0").select("lang", "gram", "n")
+    levels = level.withColumn("order", F.lit(ORDER))
+    for order in range(ORDER - 1, 0, -1):  # how many different characters come before
+        level = level.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n"))
+        levels = levels.unionByName(level.withColumn("order", F.lit(order)))
+    levels = materialize(levels)
+    once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
+    discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.75)
+    facts = materialize(levels.groupBy("order", "lang").agg(discount.alias("discount"), F.count("*").alias("size")))
+    sizes = {r["lang"]: r["size"] for r in facts.where("order = 1").collect()}
+    langs = sorted(sizes)
+    kept = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0))
+    rows = levels.join(F.broadcast(facts), ["order", "lang"])  # five rows a language
+    rows = rows.select("order", "lang", "gram", "n", kept.alias("kept"), F.expr("left(gram, order - 1)").alias("before"))
+    same = Window.partitionBy("order", "lang", "before")  # at most one row per code point
+    rows = rows.withColumn("total", F.sum("n").over(same))
+    own = rows.select(_key("own", F.col("order"), F.col("gram")).alias("key"), "lang", (F.col("kept") / F.col("total")).alias("value"), F.lit(0.0).alias("other"))
+    back = rows.groupBy("order", "lang", "before").agg((1 - F.sum("kept") / F.first("total")).alias("value"))
+    back = back.select(_key("back", F.col("order"), F.col("before")).alias("key"), "lang", "value", F.lit(1.0).alias("other"))
+    each = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col("value"))), F.first("other")) for x in langs]
+    wide = materialize(own.unionByName(back).groupBy("key").agg(F.array(*each).cast("array<double>").alias("values")))
+    ranges = max(1, -(-wide.count() // RANGE_KEYS))
+    store = wide.withColumn("range", _range(ranges)).groupBy("range").applyInArrow(_packed, "range int, keys binary, values binary")
+    return Model(langs, [sizes[x] + 1 for x in langs], materialize(store), ranges)
+
+
+def look_up(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, values) of the distinct ``keys`` that the model has."""
+
+    def work(asked: pa.Table, arrays: pa.Table) -> pa.Table:
+        wanted = asked["key"].to_numpy()
+        if not arrays.num_rows:
+            wanted, have, values = wanted[:0], np.zeros(1, np.int64), np.zeros((1, 1))
+        else:
+            have = np.frombuffer(arrays["keys"][0].as_py(), np.int64)
+            values = np.frombuffer(arrays["values"][0].as_py()).reshape(len(have), -1)
+        at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+        hit = have[at] == wanted
+        found = values[at[hit]]
+        lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())
+        return pa.Table.from_arrays([pa.array(wanted[hit]), lists], ["key", "values"])
+
+    keys = materialize(keys)
+    # More keys than the model has: each range is asked in slices, of which every one gets the arrays.
+    slices = max(1, -(-keys.count() // (model.ranges * 2 * RANGE_KEYS)))
+    asked = keys.withColumn("range", _range(model.ranges)).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
+    store = model.store.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    both = asked.groupBy("range", "slice").cogroup(store.groupBy("range", "slice"))
+    return both.applyInArrow(work, "key bigint, values array<double>")
+
+
+def gram_bits(grams: DataFrame, model: Model) -> DataFrame:
+    """(gram, bits) of distinct groups: the cost of the last character after the others in each language."""
+    places = [(kind, order) for order in range(1, ORDER + 1) for kind in ("own", "back")]
+    tail = lambda kind, order: F.expr(f"right(gram, {order})" if kind == "own" else f"left(right(gram, {order}), {order - 1})")
+    keys = F.array(*(_key(kind, order, tail(kind, order)) for kind, order in places))
+    asked = grams.select("gram", F.posexplode(keys).alias("place", "key"))
+    found = asked.join(look_up(asked.select("key").distinct(), model), "key", "left")
+    each = found.groupBy("gram").agg(*(F.max(F.when(F.col("place") == i, F.col("values"))).alias(f"v{i}") for i in range(len(places))))
+    fill = lambda x: F.array_repeat(F.lit(x), len(model.langs))
+    p = F.array(*(F.lit(1.0 / n) for n in model.letters))
+    for i in range(0, len(places), 2):
+        weighted = F.zip_with(F.coalesce(f"v{i + 1}", fill(1.0)), p, lambda a, b: a * b)
+        p = F.zip_with(F.coalesce(f"v{i}", fill(0.0)), weighted, lambda a, b: a + b)
+    return each.select("gram", F.transform(p, lambda x: -F.log2(F.greatest(x, F.lit(1e-9)))).alias("bits"))
+
+
+def word_bits(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n) to (h, n, bits): the hash of each word, its count and its cost in each language."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, PIECE_ROWS):
-                part = batch.slice(lo, PIECE_ROWS)
-                seen: dict[str, int] = {}
-                found, lengths = [], []
-                for text in part["text"].to_pylist():
-                    words = _WORDS.findall(text.lower()) if text else []
-                    lengths.append(len(words))
-                    found.extend([seen.setdefault(w, len(seen)) for w in words])
-                at, row = np.array(found, np.int64), np.repeat(np.arange(len(lengths)), lengths)
-                words = list(seen)
-                grams, number, owner = distinct_grams(words)
-                size = np.bincount(row, np.array([len(w) + 1 for w in words], float)[at] if words else None, len(lengths))
-                bits = []
-                for model in own:
-                    cost = np.bincount(owner, model.cost(grams)[number], len(words))
-                    bits.append(np.bincount(row, cost[at], len(lengths)) / np.maximum(size, 1))
-                each = [None if not n else list(map(float, b)) for n, b in zip(lengths, np.array(bits).T if bits else [[]] * len(lengths))]
-                yield pa.RecordBatch.from_arrays([*(part[n] for n in keep), pa.array(each, pa.list_(pa.float64()))], [*keep, "bits"])
-
-    schema = ", ".join([*(f"{n} {k}" for n, k in kinds.items()), "bits array<double>"])
-    return docs.select(*keep, "text").mapInArrow(work, schema)
+            own = batch["word"].to_pylist()
+            names, number, owner = distinct_grams(own)
+            pair, times = np.unique(owner * max(1, len(names)) + number, return_counts=True)
+            word, gram = pair // max(1, len(names)), pair % max(1, len(names))
+            arrays = [pa.array(word_keys(own)[word]), batch["n"].take(pa.array(word)), pa.array(names, pa.string()).take(pa.array(gram)), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "n", "gram", "times"])
+
+    parts = materialize(words.mapInArrow(split, "h bigint, n bigint, gram string, times bigint"))
+    costs = materialize(gram_bits(parts.select("gram").distinct(), model))
+    sums = [F.sum(F.col("times") * F.col("bits")[i]) for i in range(len(model.langs))]
+    return parts.join(costs, "gram").groupBy("h").agg(F.max("n").alias("n"), F.array(*sums).alias("bits"))
+
+
+def _common(costs: DataFrame, langs: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and costs of the commonest words, as many as fit; words of like counts go together."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    left, least = room // (8 + 8 * langs), None
+    for r in sorted(costs.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros((0, langs))
+    table = costs.where(size >= least).select("h", "bits").toArrow()
+    keys = table["h"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], table["bits"].combine_chunks().flatten().to_numpy().reshape(len(keys), langs)[order]
+
+
+def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES) -> DataFrame:
+    """Adds ``bits``: cross-entropy per character in each language of the model, null without letters."""
+    spark, langs = docs.sparkSession, len(model.langs)
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in keep)
+    with scratch(spark) as scope:
+        costs = materialize(word_bits(count_words(docs, ()), model))
+        shared = spark.sparkContext.broadcast(_common(costs, langs, room))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have, values = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, PIECE_ROWS):
+                    yield piece(batch.slice(lo, PIECE_ROWS), have, values)
+
+        def piece(part: pa.RecordBatch, have: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            seen: dict[str, int] = {}
+            found, lengths = [], []
+            for text in part["text"].to_pylist():
+                words = words_of(text) if text else []
+                lengths.append(len(words))
+                found.extend([seen.setdefault(w, len(seen)) for w in words])
+            word, row, rows = np.array(found, np.int64), np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+            size = np.bincount(row, np.array([len(w) + 1 for w in seen], float)[word], rows) if found else np.zeros(rows)
+            h = word_keys(list(seen))
+            at = np.minimum(np.searchsorted(have, h), max(0, len(have) - 1))
+            known = have[at] == h if len(have) else np.zeros(len(h), bool)
+            cost = np.where(known[:, None], values[at], 0.0) if len(have) else np.zeros((len(h), langs))
+            sums = np.stack([np.bincount(row, cost[word, i], rows) for i in range(langs)], 1).astype(float)
+            rare = ~known[word]
+            pair, times = np.unique(row[rare] * max(1, len(h)) + word[rare], return_counts=True)
+            ends = np.searchsorted(pair // max(1, len(h)), np.arange(rows + 1)).astype(np.int32)
+            others = pa.StructArray.from_arrays([pa.array(h[pair % max(1, len(h))], pa.int64()), pa.array(times, pa.int64())], ["h", "times"])
+            lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * langs, sums.ravel())
+            return pa.RecordBatch.from_arrays(
+                [*(part[n] for n in keep), lists, pa.array(size), pa.ListArray.from_arrays(ends, others)], [*keep, "sums", "size", "rare"]
+            )
+
+        schema = f"{kinds}, sums array<double>, size double, rare array<struct<h: bigint, times: bigint>>"
+        parts = docs.select(*keep, "text").mapInArrow(work, schema)
+        parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()))
+        more = parts.select("row", F.inline("rare")).join(costs, "h")
+        more = more.groupBy("row").agg(F.array(*(F.sum(F.col("times") * F.col("bits")[i]) for i in range(langs))).alias("more"))
+        total = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+        bits = F.when(F.col("size") > 0, F.transform(total, lambda x: x / F.col("size")))
+        return scope.keep(materialize(parts.join(more, "row", "left").select(*keep, bits.alias("bits"))))
 
 
 def _share(best: Column, sharpness: float) -> Column:
@@ -201,43 +316,48 @@ def _share(best: Column, sharpness: float) -> Column:
 
 @dataclass
 class Identifier:
-    models: dict[str, Model]
+    model: Model | None
     sharpness: float
     limits: dict[str, float]
 
     @property
     def langs(self) -> list[str]:
-        return sorted(self.models)
+        return self.model.langs if self.model else []
 
 
-def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str = "lang", rare: int = RARE) -> Identifier:
+def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Models from all rows; ``held`` marks those that the calibrating models must not see."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    both = build_models(materialize(count_grams(rows)), rare)
-    models, part = both["n"], both["n_rest"]
     sharpness, limits = 8.0, {}
-    if part:
-        langs = F.array(*(F.lit(x) for x in sorted(part)))
-        scored = materialize(entropies(rows.where("held"), part, ("lang",)).where("bits IS NOT NULL"))
-        best = F.array_min("bits")
-        true = F.col("bits")[(F.array_position(langs, F.col("lang")) - 1).cast("int")]
-        known = scored.where(F.array_contains(langs, F.col("lang")))
-        loss = [F.avg(-F.log(F.greatest(F.exp((best - true) * s) * _share(best, s), F.lit(1e-9)))) for s in SHARPNESS]
-        row = known.agg(*(x.alias(str(i)) for i, x in enumerate(loss))).first()
-        if row[0] is not None:
-            sharpness = float(SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: row[i])])
-        for r in known.groupBy("lang").agg(F.percentile_approx(true, 1 - REJECTED, 10_000).alias("limit")).collect():
-            limits[r["lang"]] = r["limit"]
-    return Identifier(models, sharpness, limits)
-
-
-def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    with scratch(docs.sparkSession) as scope:
+        counts = materialize(count_grams(count_words(rows, ("lang", "held"))))
+        if counts.isEmpty():
+            return Identifier(None, sharpness, limits)
+        model = build_model(counts)
+        scope.keep(model.store)
+        part = build_model(counts.select("lang", "gram", F.col("n_rest").alias("n")))
+        if part.langs:
+            langs = F.array(*(F.lit(x) for x in part.langs))
+            scored = entropies(rows.where("held"), part, ("lang",)).where("bits IS NOT NULL")
+            best = F.array_min("bits")
+            true = F.col("bits")[(F.array_position(langs, F.col("lang")) - 1).cast("int")]
+            known = scored.where(F.array_contains(langs, F.col("lang")))
+            loss = [F.avg(-F.log(F.greatest(F.exp((best - true) * s) * _share(best, s), F.lit(1e-9)))) for s in SHARPNESS]
+            row = known.agg(*(x.alias(str(i)) for i, x in enumerate(loss))).first()
+            if row[0] is not None:
+                sharpness = float(SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: row[i])])
+            for r in known.groupBy("lang").agg(F.percentile_approx(true, 1 - REJECTED, 10_000).alias("limit")).collect():
+                limits[r["lang"]] = r["limit"]
+    return Identifier(model, sharpness, limits)
+
+
+def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text", room: int = COMMON_BYTES) -> DataFrame:
     """(id_col, lang_pred, score, entropy, rejected) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if not fitted.models:
+    if not fitted.langs:
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    scored = entropies(rows, fitted.models, ("id",))
+    scored = entropies(rows, fitted.model, ("id",), room)
     best = F.array_min("bits")
     langs = F.array(*(F.lit(x) for x in fitted.langs))
     number = F.array_position("bits", best).cast("int")

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 
@@ -68,18 +69,54 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, fitted).collect()} == {"und"}
 
 
-def test_model_probabilities_add_up():
-    import numpy as np
+def bits_by_definition(words, text):
+    """Kneser-Ney cross-entropy per character, straight from the definition."""
+    from math import log2
+
+    windows = lambda ws: [(" " * 4 + w + " ")[i : i + 5] for w in ws for i in range(len(w) + 1)]
+    levels = {5: Counter(windows(words))}
+    for k in range(4, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    letters = len(levels[1]) + 1
+
+    def p(gram):
+        if not gram:
+            return 1 / letters
+        level = levels[len(gram)]
+        once, twice = (sum(v == n for v in level.values()) for n in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.75
+        same = [v for g, v in level.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(level[gram] - d, 0) / sum(same) + (1 - sum(max(v - d, 0) for v in same) / sum(same)) * p(gram[1:])
+
+    cost = [-log2(max(p(g), 1e-9)) for g in windows(text.split())]
+    return sum(cost) / len(cost)
+
+
+@pytest.mark.parametrize("room", [0, 200, langid.COMMON_BYTES])
+def test_entropies_by_definition(spark, room):
+    taught = {"a": "anna banana ananas nab anna", "b": "bob nab abba bob bob éa"}
+    docs = spark.createDataFrame([(x, False, t) for x, t in taught.items()], "lang string, held boolean, text string")
+    model = langid.build_model(langid.count_grams(langid.count_words(docs, ("lang", "held"))))
+    texts = ["anna nab", "bob", "zebra anna anna éé", "", None, "1 2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["bits"] for r in langid.entropies(rows, model, ("id",), room).collect()}
+    assert model.langs == ["a", "b"] and got[3] is None and got[4] is None and got[5] is None
+    for i, text in enumerate(texts[:3]):
+        assert got[i] == pytest.approx([bits_by_definition(taught[x].split(), text) for x in model.langs])
+
+
+def test_odd_rows_of_languages(spark, speech):
+    from pyspark.sql import functions as F
 
-    words = ["anna", "banana", "ananas", "nab"]
-    grams, number, _ = langid.distinct_grams(words)
-    model = langid.Model(grams, np.bincount(number), 0.75)
-    letters = sorted({int(x) for x in grams[:, -1]})
-    context = grams[5]
-    options = np.array([[*context[1:], c] for c in letters], np.uint32)
-    unseen = 2.0 ** -model.cost(np.array([[*context[1:], 0x4E00]], np.uint32))[0]
-    total = (2.0 ** -model.cost(options)).sum() + unseen * (model.letters - len(letters))
-    assert total == pytest.approx(1, abs=1e-4)
+    docs = spark.createDataFrame(speech, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("id", "bits", "word", "h", "n", "row", "held", "gram")})
+    fitted = langid.learn(docs, F.col("doc_id") % 4 == 3)
+    odd = [(1, "²½ ③ Ⅳ"), (None, "the and"), (2, "schung"), (2, "schung"), (3, "the " * 200_000), (4, "sch" * 100_000), (5, "sch²ung")]
+    rows = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("id", "bits", "sums", "size", "rare", "lang")})
+    got = sorted(((r["doc_id"] or 0, r["lang_pred"]) for r in langid.identify(rows, fitted).collect()))
+    assert got == [(0, "en"), (1, "und"), (2, "de"), (2, "de"), (3, "en"), (4, "de"), (5, "de")]
+    assert langid.identify(rows.limit(0), fitted).count() == 0
 
 
 def page(body, extra=""):
