@@ -10,7 +10,8 @@ that controls are made of are escaped (& < [ ]), so no text can open or close
 a turn, and unescaping gives back every character.
 
 Cases: null roles and texts are empty; of rows with the same node the
-smallest (parent, role, text) counts; a parent that does not exist makes a
+smallest (parent, role, text) counts; a null conversation is one of its own,
+and a null node a node without children; a parent that does not exist makes a
 root; nodes on a cycle have no leaf and are left out; ties of branches go to
 the smallest leaf.
 """
@@ -95,10 +96,14 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
         .agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("m"))
         .select("conv", "node", "m.parent", "m.role", "m.text", "m.score")
     )
+    kind = nodes.schema["node"].dataType
+    parent = F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").cast(kind).alias("node")))
+    # As structs, ids that are null are equal to each other.
+    nodes = nodes.select(F.struct("conv").alias("conv"), F.struct("node").alias("node"), parent.alias("parent"), "role", "text", "score")
     nodes = materialize(nodes)
     rows = best_paths(nodes).join(nodes, ["conv", "node"])
     turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("place"), "role", "text"))).alias("turns"))
-    return turns.select("conv", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns"), loss_role).alias("loss_spans"))
+    return turns.select("conv.conv", formatted(F.col("turns")).alias("formatted"), loss_spans(F.col("turns"), loss_role).alias("loss_spans"))
 
 
 def read_turns(text: Column) -> Column:

@@ -6,11 +6,11 @@ counts, discounts and totals are aggregates; the probabilities and the weights
 of the shorter groups stand in sorted hash arrays, one for each range of
 hashes, so a model may outgrow every executor.
 
-Only distinct things are looked up: the groups of the distinct words of the
-texts meet the arrays of their ranges, and give the bits of each word in each
-language. Texts then add up the bits of their words: of the commonest words
-from a table of at most ``COMMON_BYTES`` that every task holds, of all others
-by a join of (text, word).
+Only distinct groups are looked up: those of all texts meet the arrays of
+their ranges, which gives the bits of each group in each language. Texts then
+add up the bits of their groups: of the commonest ones from a table of at most
+``COMMON_BYTES`` that every task holds, of all others by a join of (text,
+group).
 
 A text belongs to the language of least cross-entropy per character. Texts
 are also scored by models that did not see them, a fourth of the training
@@ -20,25 +20,24 @@ above which a text is marked as rejected.
 Cases: texts that are null or have no letter are ``und`` with score 0; ties
 go to the first language in order; rows with null text or language teach
 nothing; with nothing to learn from, all texts are ``und``; repeated rows and
-ids are scored each; other columns are ignored, whatever their names. Words
-and character groups are told apart by 64-bit hashes.
+ids are scored each; other columns are ignored, whatever their names. Groups are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.textnum import mix
+from rowloom.llm.textnum import mix, pieces
 from rowloom.session import materialize, scratch
 
 ORDER = 5
@@ -46,22 +45,21 @@ UNKNOWN = "und"
 #: Share of training texts of a language whose entropy may lie above its limit.
 REJECTED = 0.001
 SHARPNESS = [0.5, 1, 2, 4, 8, 16, 32, 64]
-#: Bound on the table of common words in every task; it decides how words are looked up, not what is found.
-COMMON_BYTES = 8 << 20
+#: Bound on the table of common groups in every task; it decides how groups are looked up, not what is found.
+COMMON_BYTES = 4 << 20
 #: Keys in one range of hashes, on average.
 RANGE_KEYS = 200_000
-PIECE_ROWS = 500
-#: Letters are what Unicode calls so; ``\w`` also takes numbers that are not digits.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Texts scored together.
+PIECE_BYTES = 4 << 20
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
-
-
-def word_keys(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64)
+    """Runs of letters; the pattern also takes numbers that are not digits, which part words here."""
+    found = _RUNS.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +80,17 @@ def hashes(grams: np.ndarray) -> np.ndarray:
     return h
 
 
-def distinct_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct groups of some words, and for each window of each word the group's number and the word."""
+def distinct_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct groups of some words and their hashes, and for each window of each word the group's number and the word."""
     grams, owner = padded(words)
-    _, first, number = np.unique(hashes(grams), return_index=True, return_inverse=True)
+    h, first, number = np.unique(hashes(grams).view(np.int64), return_index=True, return_inverse=True)
     text = np.ascontiguousarray(grams[first]).tobytes().decode("utf-32-le")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], number, owner
+    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], h, number, owner
 
 
-def count_words(docs: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Texts to counts (by, word, n)."""
-    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in by)
+def count_grams(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Texts to counts (by, gram, h, n) of their groups of characters; ``h`` is the group's hash."""
+    kinds = "".join(f"{n} {docs.schema[n].dataType.simpleString()}, " for n in by)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,28 +100,14 @@ def count_words(docs: DataFrame, by: tuple[str, ...]) -> DataFrame:
                 if text.is_valid:
                     counts.setdefault(group, Counter()).update(words_of(text.as_py()))
             for group, words in counts.items():
-                own = [pa.array([g] * len(words), batch.schema.field(n).type) for g, n in zip(group, by)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], [*by, "word", "n"])
-
-    parts = docs.select(*by, "text").mapInArrow(work, ", ".join([*([kinds] if by else []), "word string, n bigint"]))
-    return parts.groupBy(*by, "word").agg(F.sum("n").alias("n"))
+                if words:
+                    names, h, number, owner = distinct_grams(list(words))
+                    n = np.bincount(number, np.fromiter(words.values(), np.int64, len(words))[owner], len(names)).astype(np.int64)
+                    own = [pa.array([g] * len(names), batch.schema.field(c).type) for g, c in zip(group, by)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(h), pa.array(n)], [*by, "gram", "h", "n"])
 
-
-def count_grams(words: DataFrame) -> DataFrame:
-    """(lang, held, word, n) to counts (lang, gram, n, n_rest): ``n_rest`` without the held texts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch["lang"].to_pylist(), object)
-            n, held = batch["n"].to_numpy(), np.array(batch["held"].to_pylist(), bool)
-            for lang in set(langs):
-                mine = np.flatnonzero(langs == lang)
-                names, number, owner = distinct_grams(batch["word"].take(pa.array(mine)).to_pylist())
-                both = [np.bincount(number, x[owner], len(names)).astype(np.int64) for x in (n[mine], np.where(held[mine], 0, n[mine]))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), *map(pa.array, both)], ["lang", "gram", "n", "n_rest"])
-
-    parts = words.mapInArrow(work, "lang string, gram string, n bigint, n_rest bigint")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest"))
+    parts = docs.select(*by, "text").mapInArrow(work, f"{kinds}gram string, h bigint, n bigint")
+    return parts.groupBy(*by, "gram", "h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -212,69 +196,65 @@ def look_up(keys: DataFrame, model: Model) -> DataFrame:
 
 
 def gram_bits(grams: DataFrame, model: Model) -> DataFrame:
-    """(gram, bits) of distinct groups: the cost of the last character after the others in each language."""
+    """(gram, h, n) to (h, n, bits): the cost of the last character after the others in each language."""
     places = [(kind, order) for order in range(1, ORDER + 1) for kind in ("own", "back")]
     tail = lambda kind, order: F.expr(f"right(gram, {order})" if kind == "own" else f"left(right(gram, {order}), {order - 1})")
     keys = F.array(*(_key(kind, order, tail(kind, order)) for kind, order in places))
-    asked = grams.select("gram", F.posexplode(keys).alias("place", "key"))
+    asked = grams.select("h", "n", F.posexplode(keys).alias("place", "key"))
     found = asked.join(look_up(asked.select("key").distinct(), model), "key", "left")
-    each = found.groupBy("gram").agg(*(F.max(F.when(F.col("place") == i, F.col("values"))).alias(f"v{i}") for i in range(len(places))))
+    each = found.groupBy("h").agg(F.first("n").alias("n"), *(F.max(F.when(F.col("place") == i, F.col("values"))).alias(f"v{i}") for i in range(len(places))))
     fill = lambda x: F.array_repeat(F.lit(x), len(model.langs))
     p = F.array(*(F.lit(1.0 / n) for n in model.letters))
     for i in range(0, len(places), 2):
         weighted = F.zip_with(F.coalesce(f"v{i + 1}", fill(1.0)), p, lambda a, b: a * b)
         p = F.zip_with(F.coalesce(f"v{i}", fill(0.0)), weighted, lambda a, b: a + b)
-    return each.select("gram", F.transform(p, lambda x: -F.log2(F.greatest(x, F.lit(1e-9)))).alias("bits"))
-
-
-def word_bits(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n) to (h, n, bits): the hash of each word, its count and its cost in each language."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch["word"].to_pylist()
-            names, number, owner = distinct_grams(own)
-            pair, times = np.unique(owner * max(1, len(names)) + number, return_counts=True)
-            word, gram = pair // max(1, len(names)), pair % max(1, len(names))
-            arrays = [pa.array(word_keys(own)[word]), batch["n"].take(pa.array(word)), pa.array(names, pa.string()).take(pa.array(gram)), pa.array(times, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "n", "gram", "times"])
-
-    parts = materialize(words.mapInArrow(split, "h bigint, n bigint, gram string, times bigint"))
-    costs = materialize(gram_bits(parts.select("gram").distinct(), model))
-    sums = [F.sum(F.col("times") * F.col("bits")[i]) for i in range(len(model.langs))]
-    return parts.join(costs, "gram").groupBy("h").agg(F.max("n").alias("n"), F.array(*sums).alias("bits"))
+    return each.select("h", "n", F.transform(p, lambda x: -F.log2(F.greatest(x, F.lit(1e-9)))).alias("bits"))
 
 
 def _common(costs: DataFrame, langs: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and costs of the commonest words, as many as fit; words of like counts go together."""
+    """Sorted hashes and costs of the commonest groups, as many as fit; groups of like counts go together."""
     size = F.floor(F.log2("n") * 8).cast("int")
-    left, least = room // (8 + 8 * langs), None
+    left, least = room // (8 + 4 * langs), None
     for r in sorted(costs.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
         left -= r["count"]
         if left < 0:
             break
         least = r["size"]
     if least is None:
-        return np.zeros(0, np.int64), np.zeros((0, langs))
-    table = costs.where(size >= least).select("h", "bits").toArrow()
+        return np.zeros(0, np.int64), np.zeros((0, langs), np.float32)
+    table = costs.where(size >= least).select("h", F.col("bits").cast("array<float>").alias("bits")).toArrow()
     keys = table["h"].to_numpy()
     order = np.argsort(keys)
     return keys[order], table["bits"].combine_chunks().flatten().to_numpy().reshape(len(keys), langs)[order]
 
 
-def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES) -> DataFrame:
-    """Adds ``bits``: cross-entropy per character in each language of the model, null without letters."""
+def _spread(rare: np.ndarray, number: np.ndarray, owner: np.ndarray, word: np.ndarray, row: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, group and count of the windows marked ``rare``, for each word's occurrences in rows."""
+    names, whose = number[rare], owner[rare]
+    begin, end = np.searchsorted(whose, word), np.searchsorted(whose, word, "right")
+    times = end - begin
+    at = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pair, n = np.unique(np.repeat(row, times) * groups + names[at], return_counts=True)
+    return pair // groups, pair % groups, n
+
+
+def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES, counts: DataFrame | None = None) -> DataFrame:
+    """Adds ``bits``: cross-entropy per character in each language of the model, null without letters.
+
+    ``counts`` are those of the groups of ``docs``, if they are known.
+    """
     spark, langs = docs.sparkSession, len(model.langs)
     kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in keep)
     with scratch(spark) as scope:
-        costs = materialize(word_bits(count_words(docs, ()), model))
+        costs = materialize(gram_bits(materialize(count_grams(docs)) if counts is None else counts, model))
         shared = spark.sparkContext.broadcast(_common(costs, langs, room))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have, values = shared.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, PIECE_ROWS):
-                    yield piece(batch.slice(lo, PIECE_ROWS), have, values)
+                ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                for lo, hi in pieces(np.concatenate([[0], ends]), PIECE_BYTES):
+                    yield piece(batch.slice(lo, hi - lo), have, values)
 
         def piece(part: pa.RecordBatch, have: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
             seen: dict[str, int] = {}
@@ -284,19 +264,27 @@ def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int =
                 lengths.append(len(words))
                 found.extend([seen.setdefault(w, len(seen)) for w in words])
             word, row, rows = np.array(found, np.int64), np.repeat(np.arange(len(lengths)), lengths), len(lengths)
-            size = np.bincount(row, np.array([len(w) + 1 for w in seen], float)[word], rows) if found else np.zeros(rows)
-            h = word_keys(list(seen))
-            at = np.minimum(np.searchsorted(have, h), max(0, len(have) - 1))
-            known = have[at] == h if len(have) else np.zeros(len(h), bool)
-            cost = np.where(known[:, None], values[at], 0.0) if len(have) else np.zeros((len(h), langs))
-            sums = np.stack([np.bincount(row, cost[word, i], rows) for i in range(langs)], 1).astype(float)
-            rare = ~known[word]
-            pair, times = np.unique(row[rare] * max(1, len(h)) + word[rare], return_counts=True)
-            ends = np.searchsorted(pair // max(1, len(h)), np.arange(rows + 1)).astype(np.int32)
-            others = pa.StructArray.from_arrays([pa.array(h[pair % max(1, len(h))], pa.int64()), pa.array(times, pa.int64())], ["h", "times"])
+            size, sums = np.zeros(rows), np.zeros((rows, langs))
+            ends, h, n = np.zeros(rows + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if found:
+                size = np.bincount(row, np.fromiter(map(len, seen), float, len(seen))[word] + 1, rows)
+                grams, owner = padded(list(seen))
+                keys, number = np.unique(hashes(grams).view(np.int64), return_inverse=True)
+                known = np.zeros(len(keys), bool)
+                if len(have):
+                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                    known = have[at] == keys
+                    cost = np.where(known[:, None], values[at], np.float32(0))
+                    for i in range(langs):
+                        own = np.bincount(owner, cost[number, i], len(seen))
+                        sums[:, i] = np.bincount(row, own[word], rows)
+                if not known.all():
+                    where, which, n = _spread(~known[number], number, owner, word, row, len(keys))
+                    h, ends = keys[which], np.searchsorted(where, np.arange(rows + 1)).astype(np.int32)
+            others = pa.StructArray.from_arrays([pa.array(h), pa.array(n, pa.int64())], ["h", "times"])
             lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * langs, sums.ravel())
             return pa.RecordBatch.from_arrays(
-                [*(part[n] for n in keep), lists, pa.array(size), pa.ListArray.from_arrays(ends, others)], [*keep, "sums", "size", "rare"]
+                [*(part[c] for c in keep), lists, pa.array(size), pa.ListArray.from_arrays(ends, others)], [*keep, "sums", "size", "rare"]
             )
 
         schema = f"{kinds}, sums array<double>, size double, rare array<struct<h: bigint, times: bigint>>"
@@ -331,7 +319,8 @@ def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str =
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     sharpness, limits = 8.0, {}
     with scratch(docs.sparkSession) as scope:
-        counts = materialize(count_grams(count_words(rows, ("lang", "held"))))
+        n, held = F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n")).otherwise(0)).alias("n_rest")
+        counts = materialize(count_grams(rows, ("lang", "held")).groupBy("lang", "gram", "h").agg(n, held))
         if counts.isEmpty():
             return Identifier(None, sharpness, limits)
         model = build_model(counts)
@@ -339,7 +328,8 @@ def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str =
         part = build_model(counts.select("lang", "gram", F.col("n_rest").alias("n")))
         if part.langs:
             langs = F.array(*(F.lit(x) for x in part.langs))
-            scored = entropies(rows.where("held"), part, ("lang",)).where("bits IS NOT NULL")
+            seen = counts.where("n > n_rest").groupBy("gram", "h").agg(F.sum(F.col("n") - F.col("n_rest")).alias("n"))
+            scored = entropies(rows.where("held"), part, ("lang",), counts=materialize(seen)).where("bits IS NOT NULL")
             best = F.array_min("bits")
             true = F.col("bits")[(F.array_position(langs, F.col("lang")) - 1).cast("int")]
             known = scored.where(F.array_contains(langs, F.col("lang")))

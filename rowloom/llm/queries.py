@@ -74,13 +74,47 @@ def op7(table):
     return mixing.mix(table("documents")).drop("copies")
 
 
-@query("op8_exact_top_k")
+_OP8_SQL = """
+WITH ready AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0
+), asked AS (
+  SELECT DISTINCT vec_id AS query_id, v AS q FROM ready WHERE vec_id % 50 = 0
+), scored AS (
+  SELECT query_id, q, vec_id, coalesce(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])), 0)::bigint AS score
+  FROM asked JOIN ready ON vec_id IS DISTINCT FROM query_id
+)
+SELECT query_id, rank::int AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id NULLS FIRST) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op8_exact_top_k", _OP8_SQL)
 def op8(table):
     rows = table("embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
-@query("op9_chat_format")
+_OP9_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), told AS (
+  SELECT conv_id, turn, role AS r0, text AS t0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+    sum(9 + length(replace(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;'))) AS size
+  FROM told GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::bigint AS loss_chars, sha256(loss) AS loss_sha256, size::bigint AS formatted_chars
+FROM whole
+"""
+
+
+@query("op9_chat_format", _OP9_SQL)
 def op9(table):
     rows = table("conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"

@@ -91,9 +91,18 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    h = Rolling(byte_values(data), BASE_A).of(starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(BASE_B))
+    """A 64-bit hash of each word: spread values of its bytes with their places, added up.
+
+    Bytes are spread together with their places, so no two texts can be built
+    from patterns of bytes alone that meet, as with polynomials modulo 2**64.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    data, begin = data[starts[0] : ends[-1]], starts - starts[0]
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(begin, np.diff(np.append(begin, len(data)))).astype(np.uint64)
+    values = mix(byte_values(data) + place * np.uint64(BASE_A))
+    values[_IS_SPACE[data]] = 0
+    return mix(np.add.reduceat(values, begin) + (ends - starts).astype(np.uint64) * np.uint64(BASE_B))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -12,13 +12,17 @@ the rows and one block of the queries and returns k rows per query.
 
 Cases: vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as filled with zeros; rows with the query's id are
-not its answers; ties go to the smaller id; sums must fit in 53 bits.
+not its answers; a null id is the smallest and equal to none; ties go to the
+smaller id; equal query rows are asked once, and unequal ones of one id each;
+vectors so long that a score may reach 2**53 raise an error; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +62,10 @@ class ImpactIndex:
             above = edge * top
             self.missing.append(np.sqrt((np.where(size < above, rows, 0) ** 2).sum(1)))
 
-    def best(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows per query; -1 where there are fewer."""
+    def best(self, queries: np.ndarray, mine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows per query but for ``mine``; -1 where there are fewer."""
         n, m = len(self.rows), len(queries)
         out, scores = np.full((m, k), -1, np.int64), np.zeros((m, k))
-        mine = own[:, None] == ids[None, :]
         acc = np.zeros((m, n))
         length = np.sqrt((queries**2).sum(1))
         for segment, missing in zip(self.segments, self.missing):
@@ -86,7 +89,7 @@ class ImpactIndex:
 def search(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, id_col, score): the k best rows of ``base`` for each row of ``queries``."""
     ready = lambda df: df.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"))
-    rows, asked = ready(base), ready(queries)
+    rows, asked = ready(base), ready(queries).dropDuplicates(["id", "v"])
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
     number = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -94,20 +97,30 @@ def search(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", number(shards))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
+        names = ["query_id", "query", "id", "score"]
         if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names)
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 4, names)
         width = max(int(np.asarray(t["v"].combine_chunks().value_lengths()).max(initial=0)) for t in (left, right))
-        index, ids = ImpactIndex(matrix(left["v"], width)), left["id"].to_numpy()
-        wanted, own = matrix(right["v"], width), right["id"].to_numpy()
+        base, wanted = matrix(left["v"], width), matrix(right["v"], width)
+        if np.sqrt((base**2).sum(1).max(initial=0)) * np.sqrt((wanted**2).sum(1).max(initial=0)) >= 2.0**53:
+            raise ValueError("scores may reach 2**53: use a smaller scale")
+        index, least = ImpactIndex(base), np.iinfo(np.int64).min
+        (ids, own), (nameless, unknown) = ([f(t["id"]) for t in (left, right)] for f in (lambda c: pc.fill_null(c, least).to_numpy(), lambda c: pc.is_null(c).to_numpy()))
         step = max(1, TILE_CELLS // len(ids))
-        parts = [(index.best(wanted[i : i + step], own[i : i + step], ids, k), own[i : i + step]) for i in range(0, len(own), step)]
-        place, score = (np.concatenate([p[0][j] for p in parts]).ravel() for j in (0, 1))
-        query = np.repeat(own, k)
+        parts = []
+        for i in range(0, len(own), step):
+            mine = (own[i : i + step, None] == ids) & ~unknown[i : i + step, None] & ~nameless
+            parts.append(index.best(wanted[i : i + step], mine, ids, k))
+        place, score = (np.concatenate([p[j] for p in parts]).ravel() for j in (0, 1))
+        query = np.repeat(np.arange(len(own)), k)
         real = place >= 0
-        return pa.Table.from_arrays([pa.array(query[real]), pa.array(ids[place[real]]), pa.array(score[real].astype(np.int64))], names)
-
-    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(work, "query_id bigint, id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        place, query = place[real], query[real]
+        found = [right["id"].take(pa.array(query)), right["query"].take(pa.array(query)), left["id"].take(pa.array(place)), pa.array(score[real].astype(np.int64))]
+        return pa.Table.from_arrays(found, names)
+
+    asked = asked.withColumn("query", F.xxhash64("id", "v"))
+    schema = "query_id bigint, query bigint, id bigint, score bigint"
+    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(work, schema)
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -99,7 +99,7 @@ def test_best_branch_is_formatted_and_read_back(spark):
 @pytest.mark.parametrize("name", sorted(LLM_QUERIES))
 def test_queries_give_a_row_per_row(spark, name):
     n = LLM_QUERIES[name](spark, SF).count()
-    table = {"op2": "pages", "op8": None, "op9": None}.get(name.split("_")[0], "documents")
+    table = {"op2": "pages", "op8": None, "op9": None, "op11": None, "op12": None}.get(name.split("_")[0], "documents")
     assert n == spark.read.parquet(f"{SF}/{table}.parquet").count() if table else n > 0
 
 
@@ -118,3 +118,25 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_search_with_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [0.0, 2.0]), (3, [1.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (100, [2.0])]
+    base = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, id int, score int")
+    got = topk.search(base, base.where("vec_id % 50 = 0"), "vec_id", "embedding", k=2, scale=1).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"] or 0, r["score"]) for r in got) == sorted(
+        [(50, 1, 100, 2), (50, 2, 0, 1), (50, 1, 0, 0), (50, 2, 3, 0), (100, 1, 0, 2), (100, 2, 3, 2)]
+    )
+
+
+def test_search_refuses_scores_beyond_53_bits(spark):
+    base = spark.createDataFrame([(50, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        topk.search(base, base.where("vec_id = 50"), "vec_id", "embedding").collect()
+
+
+def test_conversations_and_nodes_without_ids(spark):
+    rows = [(None, 1, None, "user", "a"), (None, 2, 1, "assistant", "b"), (7, None, None, "user", "c"), (8, 1, None, None, None)]
+    nodes = spark.createDataFrame([(*r, 0.0) for r in rows], "conv long, node long, parent int, role string, text string, score double")
+    got = {r["conv"]: r["formatted"] for r in chat.format_conversations(nodes).collect()}
+    assert got == {None: "<s>[user]a</s><s>[assistant]b</s>", 7: "<s>[user]c</s>", 8: "<s>[]</s>"}

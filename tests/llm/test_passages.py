@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowloom.llm import jaccard, suffixarray, suffixtree
 
@@ -115,3 +116,18 @@ def test_near_copies_as_by_brute_force(spark):
     docs += [(700, None), (701, ""), (702, " \n"), (703, "one two"), (704, "One TWO"), docs[3], (None, docs[4][1]), (705, "É a b c d"), (706, "é a b c d")]
     got = jaccard.near_duplicates(frame(spark, docs).repartition(6), bits=12).collect()
     assert sorted([tuple(r) for r in got], key=str) == linked(docs)
+
+
+def test_words_of_patterned_letters_differ(spark):
+    from rowloom.llm import quality
+
+    first, second = "a", "b"
+    for _ in range(10):  # the two Thue-Morse words of 1 024 letters
+        first, second = first + second, second + first
+    same = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*same, first])), (2, " ".join([*same, second])), (3, f"{first} p q r s {second} p q r s")], "doc_id long, text string")
+    assert {r["n_removed"] for r in suffixtree.dedupe_passages(docs).collect()} == {0}
+    alone = docs.where("doc_id < 3").withColumn("text", F.regexp_replace("text", "w[0-9]+ ", ""))
+    assert {r["component_id"] for r in jaccard.near_duplicates(alone).collect()} == {1, 2}
+    judged = quality.judge(docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source"))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in judged.collect()} == {1: 0, 2: 0, 3: 0}

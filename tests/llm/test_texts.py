@@ -98,7 +98,7 @@ def bits_by_definition(words, text):
 def test_entropies_by_definition(spark, room):
     taught = {"a": "anna banana ananas nab anna", "b": "bob nab abba bob bob éa"}
     docs = spark.createDataFrame([(x, False, t) for x, t in taught.items()], "lang string, held boolean, text string")
-    model = langid.build_model(langid.count_grams(langid.count_words(docs, ("lang", "held"))))
+    model = langid.build_model(langid.count_grams(docs, ("lang",)))
     texts = ["anna nab", "bob", "zebra anna anna éé", "", None, "1 2"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r["id"]: r["bits"] for r in langid.entropies(rows, model, ("id",), room).collect()}
