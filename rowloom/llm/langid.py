@@ -26,14 +26,12 @@ told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,47 +43,78 @@ UNKNOWN = "und"
 #: Share of training texts of a language whose entropy may lie above its limit.
 REJECTED = 0.001
 SHARPNESS = [0.5, 1, 2, 4, 8, 16, 32, 64]
-#: Bound on the table of common groups in every task; it decides how groups are looked up, not what is found.
-COMMON_BYTES = 4 << 20
+#: Bound on the table of common groups in every task, with its index; it decides how groups are looked up, not what is found.
+COMMON_BYTES = 8 << 20
+#: Bytes of the index for a key, at most.
+INDEX_BYTES = 16
 #: Keys in one range of hashes, on average.
 RANGE_KEYS = 200_000
-#: Texts scored together.
-PIECE_BYTES = 4 << 20
-_RUNS = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters; the pattern also takes numbers that are not digits, which part words here."""
-    found = _RUNS.findall(text.lower())
-    if "".join(found).isalpha() or not found:
-        return found
-    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
-
-
-def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``ORDER`` code points over words with blanks around them, and the word of each."""
-    text = "".join([" " * (ORDER - 1) + w + " " for w in words])
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    owner = np.repeat(np.arange(len(words)), lengths)
-    begin = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
-    at = np.repeat(begin, lengths) + np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return np.lib.stride_tricks.sliding_window_view(points, ORDER)[at] if len(at) else np.zeros((0, ORDER), np.uint32), owner
-
-
-def hashes(grams: np.ndarray) -> np.ndarray:
-    h = np.full(len(grams), grams.shape[1], np.uint64)
-    for j in range(grams.shape[1]):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, j].astype(np.uint64))
+#: Texts taken together.
+PIECE_CHARS = 4 << 20
+#: Code points looked at together, whatever text they are of.
+BLOCK = 1 << 20
+#: No letter has a code point from here on.
+TOP = 0x40000
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Code points that are letters as they are, others as 0; and a random number for each code point and place."""
+    letters = np.fromiter((i if chr(i).isalpha() else 0 for i in range(TOP)), np.uint32, TOP)
+    keys = np.arange(ORDER * TOP, dtype=np.uint64).reshape(ORDER, TOP)
+    return letters, mix(mix(keys + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def hashes(grams: list[np.ndarray]) -> np.ndarray:
+    """Tabulation hash of groups, given as their code points by distance from the end."""
+    keys = _tables()[1]
+    h = keys[0][grams[0]]
+    for k in range(1, ORDER):
+        h ^= keys[k][grams[k]]
     return h
 
 
-def distinct_grams(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct groups of some words and their hashes, and for each window of each word the group's number and the word."""
-    grams, owner = padded(words)
-    h, first, number = np.unique(hashes(grams).view(np.int64), return_index=True, return_inverse=True)
-    text = np.ascontiguousarray(grams[first]).tobytes().decode("utf-32-le")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], h, number, owner
+def windows(texts: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Blocks of groups of the texts' words and, for each block, the number of the first group of each text and the end.
+
+    A word is a run of letters of the lower-cased text with blanks around it;
+    a group ends at each letter and at the blank behind the word. A group
+    gives, by distance from its end, code points, 0 for a blank.
+    """
+    lows = [t.lower() for t in texts]
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lows), np.int64, len(lows)) + 1)])
+    points = np.frombuffer((" " * (ORDER - 1) + " ".join(lows) + " ").encode("utf-32-le"), np.uint32)
+    for lo in range(0, int(ends[-1]), BLOCK):
+        part = _tables()[0][np.minimum(points[lo : lo + BLOCK + ORDER - 1], TOP - 1)]
+        back = [part[ORDER - 1 - k : len(part) - k] for k in range(ORDER)]
+        at = np.flatnonzero((back[0] != 0) | (back[1] != 0))
+        grams = [x[at] for x in back]
+        for k in range(2, ORDER):  # nothing from before the word
+            grams[k] *= grams[k - 1] != 0
+        yield grams, np.searchsorted(at, ends - lo)
+
+
+def distinct_grams(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct groups, a row of code points each, and their counts."""
+    seen = np.zeros(TOP, bool)
+    for x in grams:
+        seen[x] = True
+    seen[0] = True
+    alphabet, number = np.flatnonzero(seen).astype(np.uint32), np.cumsum(seen) - 1
+    bits = int(len(alphabet) - 1).bit_length()
+    if bits * ORDER > 63:
+        _, first, n = np.unique(hashes(grams), return_index=True, return_counts=True)
+        return np.stack([x[first] for x in grams[::-1]], 1), n
+    packed = number[grams[0]]
+    for k in range(1, ORDER):
+        packed |= number[grams[k]] << (bits * k)
+    packed, n = np.unique(packed, return_counts=True)
+    places = [alphabet[packed >> (bits * k) & ((1 << bits) - 1)] for k in range(ORDER - 1, -1, -1)]
+    return np.stack(places, 1), n
+
+
+def _in_pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    return pieces(np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]), PIECE_CHARS)
 
 
 def count_grams(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,17 +123,22 @@ def count_grams(docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple, Counter] = {}
-            groups = zip(*(batch[n].to_pylist() for n in by)) if by else [()] * batch.num_rows
-            for group, text in zip(groups, batch["text"]):
+            groups: dict[tuple, list[str]] = {}
+            for group, text in zip(zip(*(batch[n].to_pylist() for n in by)) if by else [()] * batch.num_rows, batch["text"]):
                 if text.is_valid:
-                    counts.setdefault(group, Counter()).update(words_of(text.as_py()))
-            for group, words in counts.items():
-                if words:
-                    names, h, number, owner = distinct_grams(list(words))
-                    n = np.bincount(number, np.fromiter(words.values(), np.int64, len(words))[owner], len(names)).astype(np.int64)
-                    own = [pa.array([g] * len(names), batch.schema.field(c).type) for g, c in zip(group, by)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(h), pa.array(n)], [*by, "gram", "h", "n"])
+                    groups.setdefault(group, []).append(text.as_py())
+            for group, texts in groups.items():
+                found = [distinct_grams(grams) for lo, hi in _in_pieces(texts) for grams, _ in windows(texts[lo:hi])]
+                grams, times = np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])
+                if not len(grams):
+                    continue
+                h, first, number = np.unique(hashes(list(grams.T[::-1])).view(np.int64), return_index=True, return_inverse=True)
+                chars = np.where(grams[first] == 0, np.uint32(32), grams[first])
+                text = chars.tobytes().decode("utf-32-le")
+                names = pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)])
+                own = [pa.array([g] * len(h), batch.schema.field(c).type) for g, c in zip(group, by)]
+                n = np.bincount(number, times, len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*own, names, pa.array(h), pa.array(n)], [*by, "gram", "h", "n"])
 
     parts = docs.select(*by, "text").mapInArrow(work, f"{kinds}gram string, h bigint, n bigint")
     return parts.groupBy(*by, "gram", "h").agg(F.sum("n").alias("n"))
@@ -214,28 +248,39 @@ def gram_bits(grams: DataFrame, model: Model) -> DataFrame:
 def _common(costs: DataFrame, langs: int, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and costs of the commonest groups, as many as fit; groups of like counts go together."""
     size = F.floor(F.log2("n") * 8).cast("int")
-    left, least = room // (8 + 4 * langs), None
+    left, least = room // (8 + 4 * langs + INDEX_BYTES), None
     for r in sorted(costs.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
         left -= r["count"]
         if left < 0:
             break
         least = r["size"]
     if least is None:
-        return np.zeros(0, np.int64), np.zeros((0, langs), np.float32)
+        return np.zeros(0, np.uint64), np.zeros((0, langs), np.float32)
     table = costs.where(size >= least).select("h", F.col("bits").cast("array<float>").alias("bits")).toArrow()
-    keys = table["h"].to_numpy()
+    keys = table["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], table["bits"].combine_chunks().flatten().to_numpy().reshape(len(keys), langs)[order]
 
 
-def _spread(rare: np.ndarray, number: np.ndarray, owner: np.ndarray, word: np.ndarray, row: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, group and count of the windows marked ``rare``, for each word's occurrences in rows."""
-    names, whose = number[rare], owner[rare]
-    begin, end = np.searchsorted(whose, word), np.searchsorted(whose, word, "right")
-    times = end - begin
-    at = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pair, n = np.unique(np.repeat(row, times) * groups + names[at], return_counts=True)
-    return pair // groups, pair % groups, n
+class _Sorted:
+    """Places of hashes in a sorted array, found from the first key of each of many even ranges."""
+
+    def __init__(self, keys: np.ndarray):
+        width = max(1, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - width)
+        self.first = np.searchsorted(keys, np.arange(1 << width, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.size = len(keys)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or the number of keys where there is none."""
+        at = self.first[h >> self.shift]
+        behind = np.flatnonzero(self.keys[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < h[behind]]
+        at[self.keys[at] != h] = self.size
+        return at
 
 
 def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES, counts: DataFrame | None = None) -> DataFrame:
@@ -251,37 +296,31 @@ def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int =
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have, values = shared.value
+            common, values = _Sorted(have), np.vstack([values, np.zeros((1, langs), np.float32)])
             for batch in batches:
-                ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-                for lo, hi in pieces(np.concatenate([[0], ends]), PIECE_BYTES):
-                    yield piece(batch.slice(lo, hi - lo), have, values)
-
-        def piece(part: pa.RecordBatch, have: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            seen: dict[str, int] = {}
-            found, lengths = [], []
-            for text in part["text"].to_pylist():
-                words = words_of(text) if text else []
-                lengths.append(len(words))
-                found.extend([seen.setdefault(w, len(seen)) for w in words])
-            word, row, rows = np.array(found, np.int64), np.repeat(np.arange(len(lengths)), lengths), len(lengths)
-            size, sums = np.zeros(rows), np.zeros((rows, langs))
-            ends, h, n = np.zeros(rows + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if found:
-                size = np.bincount(row, np.fromiter(map(len, seen), float, len(seen))[word] + 1, rows)
-                grams, owner = padded(list(seen))
-                keys, number = np.unique(hashes(grams).view(np.int64), return_inverse=True)
-                known = np.zeros(len(keys), bool)
-                if len(have):
-                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                    known = have[at] == keys
-                    cost = np.where(known[:, None], values[at], np.float32(0))
-                    for i in range(langs):
-                        own = np.bincount(owner, cost[number, i], len(seen))
-                        sums[:, i] = np.bincount(row, own[word], rows)
-                if not known.all():
-                    where, which, n = _spread(~known[number], number, owner, word, row, len(keys))
-                    h, ends = keys[which], np.searchsorted(where, np.arange(rows + 1)).astype(np.int32)
-            others = pa.StructArray.from_arrays([pa.array(h), pa.array(n, pa.int64())], ["h", "times"])
+                texts = [t or "" for t in batch["text"].to_pylist()]
+                for lo, hi in _in_pieces(texts):
+                    yield piece(batch.slice(lo, hi - lo), texts[lo:hi], common, values)
+
+        def piece(part: pa.RecordBatch, texts: list[str], common: _Sorted, values: np.ndarray) -> pa.RecordBatch:
+            rows = len(texts)
+            size, sums, rare = np.zeros(rows), np.zeros((rows, langs)), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            for grams, begin in windows(texts):
+                h = hashes(grams)
+                at = common.find(h)
+                some = np.flatnonzero(np.diff(begin))
+                if len(some):
+                    size[some] += np.diff(begin)[some]
+                    sums[some] += np.add.reduceat(values[at], begin[some], axis=0, dtype=np.float64)
+                    other = np.flatnonzero(at == common.size)
+                    rare.append((np.searchsorted(begin, other, "right") - 1, h[other]))
+            where, which = (np.concatenate(x) for x in zip(*rare))
+            order = np.lexsort((which, where))
+            where, which = where[order], which[order]
+            first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (which[1:] != which[:-1])])) if len(where) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(where)))
+            others = pa.StructArray.from_arrays([pa.array(which[first].view(np.int64)), pa.array(times, pa.int64())], ["h", "times"])
+            ends = np.searchsorted(where[first], np.arange(rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * langs, sums.ravel())
             return pa.RecordBatch.from_arrays(
                 [*(part[c] for c in keep), lists, pa.array(size), pa.ListArray.from_arrays(ends, others)], [*keep, "sums", "size", "rare"]
@@ -307,20 +346,28 @@ class Identifier:
     model: Model | None
     sharpness: float
     limits: dict[str, float]
+    counts: DataFrame | None = None  # of the groups of all texts that ``learn`` was given
 
     @property
     def langs(self) -> list[str]:
         return self.model.langs if self.model else []
 
 
-def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Models from all rows; ``held`` marks those that the calibrating models must not see."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str = "lang", taught: Column | None = None) -> Identifier:
+    """Models from all rows, or those that are ``taught``; ``held`` marks those that the calibrating models must not see.
+
+    Rows that are not taught are only counted, so that ``identify`` need not
+    read the same table for its groups again.
+    """
+    lang = F.col(lang_col).cast("string")
+    lang = lang if taught is None else F.when(taught, lang)
+    rows = docs.select(lang.alias("lang"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     sharpness, limits = 8.0, {}
     with scratch(docs.sparkSession) as scope:
-        n, held = F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n")).otherwise(0)).alias("n_rest")
-        counts = materialize(count_grams(rows, ("lang", "held")).groupBy("lang", "gram", "h").agg(n, held))
+        n, rest = F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n")).otherwise(0)).alias("n_rest")
+        counts = materialize(count_grams(rows, ("lang", "held")).groupBy("lang", "gram", "h").agg(n, rest))
+        every = scope.keep(materialize(counts.groupBy("gram", "h").agg(n)))
+        counts, rows = counts.where("lang IS NOT NULL"), rows.where("lang IS NOT NULL")
         if counts.isEmpty():
             return Identifier(None, sharpness, limits)
         model = build_model(counts)
@@ -339,15 +386,15 @@ def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str =
                 sharpness = float(SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: row[i])])
             for r in known.groupBy("lang").agg(F.percentile_approx(true, 1 - REJECTED, 10_000).alias("limit")).collect():
                 limits[r["lang"]] = r["limit"]
-    return Identifier(model, sharpness, limits)
+    return Identifier(model, sharpness, limits, every)
 
 
-def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text", room: int = COMMON_BYTES) -> DataFrame:
-    """(id_col, lang_pred, score, entropy, rejected) of every row."""
+def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text", room: int = COMMON_BYTES, counts: DataFrame | None = None) -> DataFrame:
+    """(id_col, lang_pred, score, entropy, rejected) of every row; ``counts`` as for ``entropies``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not fitted.langs:
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    scored = entropies(rows, fitted.model, ("id",), room)
+    scored = entropies(rows, fitted.model, ("id",), room, counts)
     best = F.array_min("bits")
     langs = F.array(*(F.lit(x) for x in fitted.langs))
     number = F.array_position("bits", best).cast("int")

@@ -41,9 +41,9 @@ def tokenizer_path() -> str:
 def op1(table):
     docs = table("documents")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
-    fitted = langid.learn(docs.where(F.coalesce(part != 2, F.lit(True))), part == 3)
-    found = langid.identify(docs, fitted)
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    held = F.coalesce(part == 2, F.lit(False))
+    fitted = langid.learn(docs, part == 3, taught=~held)
+    found = langid.identify(docs, fitted, counts=fitted.counts)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
