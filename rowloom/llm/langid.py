@@ -13,8 +13,8 @@ add up the bits of their groups: of the commonest ones from a table of at most
 group).
 
 A text belongs to the language of least cross-entropy per character. Texts
-are also scored by models that did not see them, a fourth of the training
-texts, to choose the sharpness of the score and, per language, the entropy
+that are held out of a second set of models, a fourth of the training texts, are
+scored by those to choose the sharpness of the score and, per language, the entropy
 above which a text is marked as rejected.
 
 Cases: texts that are null or have no letter are ``und`` with score 0; ties
@@ -283,15 +283,19 @@ class _Sorted:
         return at
 
 
-def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES, counts: DataFrame | None = None) -> DataFrame:
+def entropies(docs: DataFrame, model: Model, keep: tuple[str, ...], room: int = COMMON_BYTES, costs: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """Adds ``bits``: cross-entropy per character in each language of the model, null without letters.
 
-    ``counts`` are those of the groups of ``docs``, if they are known.
+    ``costs`` are the ``gram_bits`` of at least the groups of ``docs``, if they
+    are known; ``names`` some of the model's languages, neighbours in its order.
     """
-    spark, langs = docs.sparkSession, len(model.langs)
+    spark, names = docs.sparkSession, names or model.langs
+    langs = len(names)
     kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in keep)
     with scratch(spark) as scope:
-        costs = materialize(gram_bits(materialize(count_grams(docs)) if counts is None else counts, model))
+        if costs is None:
+            costs = materialize(gram_bits(materialize(count_grams(docs)), model))
+        costs = costs.withColumn("bits", F.slice("bits", model.langs.index(names[0]) + 1, langs))
         shared = spark.sparkContext.broadcast(_common(costs, langs, room))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,21 +347,30 @@ def _share(best: Column, sharpness: float) -> Column:
 
 @dataclass
 class Identifier:
+    """``model`` has each language twice: by all texts (``+``) and, as far as there are any, by those not held (``-``).
+
+    ``costs`` are the bits of the groups of all texts that ``learn`` was given.
+    """
+
     model: Model | None
     sharpness: float
     limits: dict[str, float]
-    counts: DataFrame | None = None  # of the groups of all texts that ``learn`` was given
+    costs: DataFrame | None = None
 
     @property
     def langs(self) -> list[str]:
-        return self.model.langs if self.model else []
+        return _named(self.model, "+") if self.model else []
+
+
+def _named(model: Model, mark: str) -> list[str]:
+    return [x[1:] for x in model.langs if x[0] == mark]
 
 
 def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str = "lang", taught: Column | None = None) -> Identifier:
     """Models from all rows, or those that are ``taught``; ``held`` marks those that the calibrating models must not see.
 
     Rows that are not taught are only counted, so that ``identify`` need not
-    read the same table for its groups again.
+    read and look up the groups of the same table again.
     """
     lang = F.col(lang_col).cast("string")
     lang = lang if taught is None else F.when(taught, lang)
@@ -366,17 +379,17 @@ def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str =
     with scratch(docs.sparkSession) as scope:
         n, rest = F.sum("n").alias("n"), F.sum(F.when(~F.col("held"), F.col("n")).otherwise(0)).alias("n_rest")
         counts = materialize(count_grams(rows, ("lang", "held")).groupBy("lang", "gram", "h").agg(n, rest))
-        every = scope.keep(materialize(counts.groupBy("gram", "h").agg(n)))
-        counts, rows = counts.where("lang IS NOT NULL"), rows.where("lang IS NOT NULL")
-        if counts.isEmpty():
+        taught, rows = counts.where("lang IS NOT NULL"), rows.where("lang IS NOT NULL")
+        if taught.isEmpty():
             return Identifier(None, sharpness, limits)
-        model = build_model(counts)
+        either = [F.struct(F.concat(F.lit(mark), "lang").alias("lang"), "gram", F.col(c).alias("n")) for mark, c in (("+", "n"), ("-", "n_rest"))]
+        model = build_model(taught.select(F.inline(F.array(*either))))
         scope.keep(model.store)
-        part = build_model(counts.select("lang", "gram", F.col("n_rest").alias("n")))
-        if part.langs:
-            langs = F.array(*(F.lit(x) for x in part.langs))
-            seen = counts.where("n > n_rest").groupBy("gram", "h").agg(F.sum(F.col("n") - F.col("n_rest")).alias("n"))
-            scored = entropies(rows.where("held"), part, ("lang",), counts=materialize(seen)).where("bits IS NOT NULL")
+        costs = scope.keep(materialize(gram_bits(counts.groupBy("gram", "h").agg(n), model)))
+        part = _named(model, "-")
+        if part:
+            langs = F.array(*(F.lit(x) for x in part))
+            scored = entropies(rows.where("held"), model, ("lang",), costs=costs, names=["-" + x for x in part]).where("bits IS NOT NULL")
             best = F.array_min("bits")
             true = F.col("bits")[(F.array_position(langs, F.col("lang")) - 1).cast("int")]
             known = scored.where(F.array_contains(langs, F.col("lang")))
@@ -386,15 +399,15 @@ def learn(docs: DataFrame, held: Column, text_col: str = "text", lang_col: str =
                 sharpness = float(SHARPNESS[min(range(len(SHARPNESS)), key=lambda i: row[i])])
             for r in known.groupBy("lang").agg(F.percentile_approx(true, 1 - REJECTED, 10_000).alias("limit")).collect():
                 limits[r["lang"]] = r["limit"]
-    return Identifier(model, sharpness, limits, every)
+    return Identifier(model, sharpness, limits, costs)
 
 
-def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text", room: int = COMMON_BYTES, counts: DataFrame | None = None) -> DataFrame:
-    """(id_col, lang_pred, score, entropy, rejected) of every row; ``counts`` as for ``entropies``."""
+def identify(docs: DataFrame, fitted: Identifier, id_col: str = "doc_id", text_col: str = "text", room: int = COMMON_BYTES, costs: DataFrame | None = None) -> DataFrame:
+    """(id_col, lang_pred, score, entropy, rejected) of every row; ``costs`` as for ``entropies``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not fitted.langs:
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    scored = entropies(rows, fitted.model, ("id",), room, counts)
+    scored = entropies(rows, fitted.model, ("id",), room, costs, ["+" + x for x in fitted.langs])
     best = F.array_min("bits")
     langs = F.array(*(F.lit(x) for x in fitted.langs))
     number = F.array_position("bits", best).cast("int")

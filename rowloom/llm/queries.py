@@ -43,7 +43,7 @@ def op1(table):
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     held = F.coalesce(part == 2, F.lit(False))
     fitted = langid.learn(docs, part == 3, taught=~held)
-    found = langid.identify(docs, fitted, counts=fitted.counts)
+    found = langid.identify(docs, fitted, costs=fitted.costs)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
