@@ -22,6 +22,10 @@ TOP_K = 5
 THRESHOLD = 0.7
 HELD_CELLS = 8_000_000  # numbers in a matrix that travels with the task
 BLOCK_CELLS = 2_000_000  # numbers in one packed block
+TILE_CELLS = 1 << 20  # distances worked out at once
+TILE_SIDE = 1 << 11  # base rows of a tile
+OUT_ROWS = 1 << 16  # hits handed out at once
+DEAL_QUERIES = 1 << 10  # queries from which the streamed side is dealt out to all cores
 _OUT = "query_id long, base_id long, distance double"
 
 
@@ -35,18 +39,50 @@ def distances(queries: np.ndarray, base: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """The ``k`` nearest base rows of each query; ties go to the lower id."""
-    gap = distances(queries, base, metric)
-    keep = min(k, gap.shape[1])
-    out = []
-    for row, qid in zip(gap, query_ids):
-        row = np.where(np.isnan(row), np.inf, row)
-        limit = np.partition(row, keep - 1)[keep - 1]
-        near = np.flatnonzero(row <= limit)
-        order = np.lexsort((base_ids[near], row[near]))[:keep]
-        out.append(pd.DataFrame({"query_id": qid, "base_id": base_ids[near][order], "distance": row[near][order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "base_id": [], "distance": []})
+class Hits:
+    """The ``k`` nearest base rows of each query among the rows met so far; ties go to the lower id.
+
+    Distances are worked out by tiles of ``TILE_CELLS``, whatever the sizes of
+    both sides; between tiles only the hits are kept.
+    """
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
+        self.ids, self.queries, self.k, self.metric, self.seen = ids, queries, k, metric, 0
+        self.gap = np.full((len(ids), k), np.inf)
+        self.base = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, base_ids: np.ndarray, base: np.ndarray) -> None:
+        wide = max(1, min(len(base), TILE_SIDE))
+        tall = max(1, TILE_CELLS // max(wide, base.shape[1]))
+        for b in range(0, len(base), wide):
+            for q in range(0, len(self.ids), tall):
+                self._tile(slice(q, q + tall), base_ids[b : b + wide], base[b : b + wide])
+        self.seen += len(base)
+
+    def _tile(self, at: slice, base_ids: np.ndarray, base: np.ndarray) -> None:
+        gap = distances(self.queries[at], base, self.metric)
+        gap[np.isnan(gap)] = np.inf
+        some = np.flatnonzero(gap.min(axis=1) <= self.gap[at, -1])
+        if not len(some):
+            return
+        rows = some + at.start
+        gap = np.hstack([self.gap[rows], gap[some]])
+        limit = np.partition(gap, self.k - 1, axis=1)[:, self.k - 1]
+        row, col = np.nonzero(gap <= limit[:, None])
+        old = col < self.k
+        found = np.where(old, self.base[rows[row], np.minimum(col, self.k - 1)], base_ids[np.maximum(col - self.k, 0)])
+        near = gap[row, col]
+        order = np.lexsort((found, near, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.gap[rows], self.base[rows] = near[order].reshape(-1, self.k), found[order].reshape(-1, self.k)
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        keep = min(self.k, self.seen)
+        step = max(1, OUT_ROWS // max(1, keep))
+        for q in range(0, len(self.ids) if keep else 0, step):
+            base, gap = self.base[q : q + step, :keep], self.gap[q : q + step, :keep]
+            yield pd.DataFrame({"query_id": np.repeat(self.ids[q : q + step], keep), "base_id": base.ravel(), "distance": gap.ravel()})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -58,6 +94,12 @@ def _held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["id"].to_numpy(dtype=np.int64), _matrix(rows["vec"]) if len(rows) else np.zeros((0, 1))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table of few partitions, whose files may hold one row group each, dealt out evenly to all cores."""
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
+
+
 def _blocks(df: DataFrame, rows_per_block: int, count: int, name: str) -> DataFrame:
     """Rows packed to matrices: one row per block, of bounded size."""
     blocks = max(1, -(-count // rows_per_block))
@@ -96,23 +138,19 @@ def nearest(
     if not first:
         return queries.sparkSession.createDataFrame([], _OUT)
     width = max(1, len(first[0]["vec"]))
-    most = max(1, held_cells // width)
+    most = max(1, held_cells // max(width, 2 * k))
     q_rows = q.count()
     if q_rows <= most:
         ids, held = _held(q)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept = None
+            hits = Hits(ids, held, k, metric)
             for part in batches:
                 if len(part) and len(ids):
-                    fresh = best(ids, held, part["id"].to_numpy(), _matrix(part["vec"]), k, metric)
-                    both = fresh if kept is None else pd.concat([kept, fresh])
-                    ranked = both.sort_values(["query_id", "distance", "base_id"])
-                    kept = ranked.groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
-
-        found = b.mapInPandas(scan, _OUT)
+                    hits.meet(part["id"].to_numpy(), _matrix(part["vec"]))
+            yield from hits.frames()
+
+        found = (_dealt(b) if q_rows >= DEAL_QUERIES else b).mapInPandas(scan, _OUT)
         return _merge(found, k)
     b_rows = b.count()
     if b_rows <= most:
@@ -121,9 +159,11 @@ def nearest(
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
                 if len(part):
-                    yield best(part["id"].to_numpy(), _matrix(part["vec"]), ids, held, k, metric)
+                    hits = Hits(part["id"].to_numpy(), _matrix(part["vec"]), k, metric)
+                    hits.meet(ids, held)
+                    yield from hits.frames()
 
-        return q.mapInPandas(probe, _OUT)
+        return (_dealt(q) if b_rows >= DEAL_QUERIES else q).mapInPandas(probe, _OUT)
     per_block = max(1, block_cells // width)
     packed_b = _blocks(b, per_block, b_rows, "b").withColumn("no", F.monotonically_increasing_id())
     from rowloom.session import materialize
@@ -137,7 +177,9 @@ def nearest(
             for row in part.itertuples(index=False):
                 qm = np.asarray(row.q_flat, dtype=float).reshape(len(row.q_ids), -1)
                 bm = np.asarray(row.b_flat, dtype=float).reshape(len(row.b_ids), -1)
-                yield best(np.asarray(row.q_ids), qm, np.asarray(row.b_ids), bm, k, metric)
+                hits = Hits(np.asarray(row.q_ids), qm, k, metric)
+                hits.meet(np.asarray(row.b_ids), bm)
+                yield from hits.frames()
 
     return _merge(packed_q.join(packed_b, "no").select("q_ids", "q_flat", "b_ids", "b_flat").mapInPandas(meet, _OUT), k)
 

@@ -1,6 +1,9 @@
 """The ways taken on big tables give the same answers, and plans keep shape."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from rowloom.functions.quantiles import exact_quantiles, grouped_quantile
 from rowloom.operators import columns, ordered, rows, skew
 from rowloom.operators.ordering import carried_fill, reindex, running_total, with_row_index
 from rowloom.session import materialize
+from rowloom.textsearch import vectors
 from rowloom.textsearch.vectors import nearest
 
 
@@ -132,3 +136,29 @@ def test_label_encoding_of_many_values(table, monkeypatch):
     names = sorted(r["c_name"] for r in c.collect())
     want = [names.index(r["c_name"]) for r in c.orderBy("c_custkey").collect()]
     assert [r["c_name"] for r in got] == want
+
+
+def test_hits_of_many_rows_need_no_whole_distance_matrix():
+    """Tiles bound the memory: 4 000 queries by 30 000 rows would be 960 MB of distances."""
+    rng = np.random.default_rng(1)
+    queries, base = rng.integers(0, 4, (4000, 3)).astype(float), rng.integers(0, 4, (30000, 3)).astype(float)
+    ids = rng.permutation(30000)
+    base[7] = np.nan
+    tracemalloc.start()
+    hits = vectors.Hits(np.arange(4000), queries, 4, "euclidean")
+    for at in (0, 1, 9000):  # rows arrive in batches, one of them shorter than k
+        hits.meet(ids[at : {0: 1, 1: 9000}.get(at, 30000)], base[at : {0: 1, 1: 9000}.get(at, 30000)])
+    out = pd.concat(hits.frames())
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    for q in range(0, 4000, 400):
+        gap = np.nan_to_num(np.sqrt(((base - queries[q]) ** 2).sum(axis=1)), nan=np.inf)
+        order = np.lexsort((ids, gap))[:4]
+        mine = out[out["query_id"] == q]
+        assert mine["base_id"].tolist() == ids[order].tolist() and np.allclose(mine["distance"], gap[order])
+
+
+def test_hits_of_fewer_rows_than_asked():
+    hits = vectors.Hits(np.array([5]), np.array([[1.0, 0.0]]), 4, "cosine")
+    hits.meet(np.array([9, 3]), np.array([[0.0, 0.0], [0.0, 0.0]]))
+    assert pd.concat(hits.frames())["base_id"].tolist() == [3, 9]  # no angle: last, but still rows
