@@ -49,25 +49,32 @@ def inversions(values: np.ndarray) -> int:
     return total
 
 
-def _inside(table: pa.Table) -> pa.Table:
-    """Inversions of one block; in blocks of ``r`` those of one block of ``p`` are left out, as they count there."""
-    p, r, own = (table[c].to_numpy() for c in ("p", "r", "own"))
-    order = np.argsort(p)
-    count = inversions(r[order])
-    if not table["by_p"][0].as_py():
+def _inside(table: pa.Table, block_rows: int) -> pa.Table:
+    """Inversions of one block, by the place of its rows in it and their number on the other side; in blocks of ``r`` those of one block of ``p`` are left out, as they count there."""
+    near, far = (table[c].to_numpy().astype(np.int64) for c in ("near", "far"))
+    if table["by_p"][0].as_py():
+        count = inversions(far[np.argsort(near)])
+    else:
+        order = np.argsort(far)
+        r = near[order]
+        count = inversions(r)
         # Raised by their block of p, rows of different such blocks never fall.
-        _, block = np.unique(own[order], return_inverse=True)
-        count -= inversions(block.astype(np.int64) * (int(r.max()) + 1) + r[order])
+        _, block = np.unique(far[order] // block_rows, return_inverse=True)
+        count -= inversions(block.astype(np.int64) * (int(r.max()) + 1) + r)
     return pa.table({"grp": table["grp"].slice(0, 1), "n": pa.array([count], pa.int64())})
 
 
 def count_inversions(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(grp, inverted) from rows (grp, p, r): per group, ``p`` and ``r`` number its rows from 0 without gaps."""
     rows = rows.select("grp", "p", "r", F.expr(f"p div {block_rows}").alias("bp"), F.expr(f"r div {block_rows}").alias("br"))
-    by_p = rows.select("grp", "p", "r", F.lit(True).alias("by_p"), F.col("bp").alias("block"), F.col("bp").alias("own"))
-    by_r = rows.select("grp", "p", "r", F.lit(False).alias("by_p"), F.col("br").alias("block"), F.col("bp").alias("own"))
+
+    def side(by_p: bool, own: str, other: str) -> DataFrame:
+        place = F.pmod(own, F.lit(block_rows)).cast("int")
+        return rows.select("grp", F.lit(by_p).alias("by_p"), F.col(f"b{own}").alias("block"), place.alias("near"), F.col(other).alias("far"))
+
     kind = rows.schema["grp"].dataType.simpleString()
-    inside = by_p.unionByName(by_r).groupBy("grp", "by_p", "block").applyInArrow(_inside, f"grp {kind}, n bigint")
+    both = side(True, "p", "r").unionByName(side(False, "r", "p"))
+    inside = both.groupBy("grp", "by_p", "block").applyInArrow(lambda t: _inside(t, block_rows), f"grp {kind}, n bigint")
     cells = materialize(rows.groupBy("grp", "bp", "br").agg(F.count("*").alias("c")))
     sizes = cells.groupBy("grp").agg((F.max("bp") + 1).alias("k"))
     grid = sizes.where("k > 1").select("grp", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("bp")).select("grp", "bp", F.explode(F.expr("sequence(0L, k - 1)")).alias("br"))

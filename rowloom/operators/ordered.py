@@ -20,9 +20,9 @@ from rowloom.functions.guards import (
 )
 from rowloom.functions.inversions import BLOCK_ROWS, count_inversions
 from rowloom.functions.stats import kurt, skew
-from rowloom.operators.ordering import over_row_frames, require_index, running_total, with_row_index
+from rowloom.operators.ordering import BUCKET_ROWS, over_row_frames, require_index, running_total, with_row_index
 from rowloom.operators.skew import lookup
-from rowloom.session import materialize
+from rowloom.session import scratch
 
 _UP = {"up", "u", "lead"}
 _DOWN = {"down", "d", "lag"}
@@ -170,6 +170,8 @@ def stats_percentile_rank(df: DataFrame, column: str, new_name: str | None = Non
     return place_after(joined, column, {name: F.col("__rank")}).drop("__v", "__rank")
 
 
+#: Parts that equal pairs of a Kendall lag can be dealt to.
+TIE_PARTS = 1 << 10
 #: Pairs up to which the p-value without ties is that of the exact distribution.
 EXACT_PAIRS = 33
 
@@ -217,10 +219,10 @@ def _tie_sums(pairs: DataFrame, side: str) -> DataFrame:
 def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int = 24, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Kendall's tau-b between the column and each lag of it, exact for any number of values.
 
-    The pairs of a lag are numbered along (value, lagged value) and along
-    (lagged value, value), each by one range shuffle; pairs that fall are the
-    discordant ones, and ties are grouped counts. Only one row per lag, with
-    its sums, reaches the driver.
+    The pairs of a lag are numbered along (value, lagged value), then along
+    (lagged value, first number), each by one range shuffle that carries no
+    more than that; pairs that fall are the discordant ones, and ties are
+    grouped counts. Only one row per lag, with its sums, reaches the driver.
     """
     require(df, column)
     require_index(df, "Kendall lags")
@@ -238,18 +240,22 @@ def kendall_lag_table(df: DataFrame, column: str, min_lag: int = 1, max_lag: int
         return spread.withColumn("__lags", lags)
 
     framed = over_row_frames(known, high, 0, build).filter("x is not null")
-    pairs = framed.select(F.col("_row_index").alias("at"), F.col("x").alias("a"), F.explode("__lags").alias("l"))
-    pairs = pairs.select("at", "l.lag", "a", "l.b").filter("b is not null")
-    placed = with_row_index(pairs, ["lag", "a", "b", "at"]).withColumnRenamed("_row_index", "p")
-    placed = materialize(with_row_index(placed, ["lag", "b", "a", "at"]).withColumnRenamed("_row_index", "r"))
-    sizes = placed.groupBy("lag").agg(F.count("*").alias("pairs"), F.min("p").alias("first"))
-    numbered = placed.join(F.broadcast(sizes.select("lag", "first")), "lag")  # a row per lag
-    numbered = numbered.select(F.col("lag").alias("grp"), (F.col("p") - F.col("first")).alias("p"), (F.col("r") - F.col("first")).alias("r"))
-    inverted = count_inversions(numbered, block_rows).withColumnRenamed("grp", "lag")
-    both = placed.groupBy("lag", "a", "b").agg(F.count("*").cast("decimal(38,0)").alias("t")).groupBy("lag")
-    both = both.agg(F.sum((F.col("t") * (F.col("t") - 1) / 2).cast("decimal(38,0)")).alias("tie_ab"))
-    table = sizes.join(inverted, "lag").join(both, "lag").join(_tie_sums(placed, "a"), "lag").join(_tie_sums(placed, "b"), "lag")
-    rows = [(r["lag"], *_kendall(r), r["pairs"]) for r in table.collect()]
+    # Equal pairs may stand in any order, but not all in one partition: they part by where their rows lie.
+    part = F.pmod(F.expr(f"_row_index div {BUCKET_ROWS}"), F.lit(TIE_PARTS)).cast("int").alias("part")
+    pairs = framed.select(part, F.col("x").alias("a"), F.explode("__lags").alias("l"))
+    pairs = pairs.select("part", "l.lag", "a", "l.b").filter("b is not null")
+    with scratch(df.sparkSession):
+        by_a = with_row_index(pairs, ["lag", "a", "b", "part"], ["lag", "a", "b"]).withColumnRenamed("_row_index", "p")
+        # Among equal b the first numbers rise with a.
+        by_b = with_row_index(by_a.select("lag", "b", "p"), ["lag", "b", "p"]).withColumnRenamed("_row_index", "r")
+        sizes = by_a.groupBy("lag").agg(F.count("*").alias("pairs"), F.min("p").alias("first"))
+        numbered = by_b.join(F.broadcast(sizes.select("lag", "first")), "lag")  # a row per lag
+        numbered = numbered.select(F.col("lag").alias("grp"), (F.col("p") - F.col("first")).alias("p"), (F.col("r") - F.col("first")).alias("r"))
+        inverted = count_inversions(numbered, block_rows).withColumnRenamed("grp", "lag")
+        both = by_a.groupBy("lag", "a", "b").agg(F.count("*").cast("decimal(38,0)").alias("t")).groupBy("lag")
+        both = both.agg(F.sum((F.col("t") * (F.col("t") - 1) / 2).cast("decimal(38,0)")).alias("tie_ab"))
+        table = sizes.join(inverted, "lag").join(both, "lag").join(_tie_sums(by_a, "a"), "lag").join(_tie_sums(by_b, "b"), "lag")
+        rows = [(r["lag"], *_kendall(r), r["pairs"]) for r in table.collect()]
     return df.sparkSession.createDataFrame(rows, "lag int, tau double, pvalue double, pairs long")
 
 

@@ -25,8 +25,8 @@ def _ordering(order_by: list[str | Column]) -> list[Column]:
     return [quoted(k).asc_nulls_last() if isinstance(k, str) else k for k in order_by]
 
 
-def with_row_index(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
-    """Number the rows 0..n-1 along ``order_by``.
+def with_row_index(df: DataFrame, order_by: list[str | Column], keep: list[str] | None = None) -> DataFrame:
+    """Number the rows 0..n-1 along ``order_by``; ``keep`` names the columns that stay, all if not given.
 
     One range shuffle; hot leading keys split on the later keys. The sorted
     partitions are written once because range borders are sampled and would
@@ -35,15 +35,15 @@ def with_row_index(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     require_batch(df, "row numbering")
     keys = _ordering(order_by)
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    stored = materialize(placed.withColumn(_POS, F.monotonically_increasing_id()))
+    names = [c for c in (df.columns if keep is None else keep) if c != ROW]
+    stored = materialize(placed.select(*[quoted(c) for c in names], F.monotonically_increasing_id().alias(_POS)))
     part = F.shiftright(_POS, 33)
     sizes = stored.groupBy(part.alias(_PART)).agg(F.count("*").alias("n"))
     before = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(_PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_OFFSET))
     inside = F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1))
     numbered = stored.withColumn(_PART, part).join(F.broadcast(offsets), _PART)
-    columns = [quoted(c) for c in df.columns if c != ROW]
-    return numbered.select((F.col(_OFFSET) + inside).alias(ROW), *columns)
+    return numbered.select((F.col(_OFFSET) + inside).alias(ROW), *[quoted(c) for c in names])
 
 
 def require_index(df: DataFrame, what: str) -> None:

@@ -353,7 +353,8 @@ def _h4_price_sql():
 
 @query("h4_kendall_price", _h4_price_sql())
 def h4_price(t):
-    rows = with_row_index(t("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    rows = with_row_index(t("lineitem").select(*order, "l_extendedprice"), order, ["l_extendedprice"])
     table = ordered.kendall_lag_table(rows, "l_extendedprice", 1, 2)
     return table.select("lag", "pairs", (F.round("tau", 9) + F.lit(0.0)).alias("tau"))
 

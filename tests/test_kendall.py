@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions.inversions import count_inversions, inversions
-from rowloom.operators import ordered
+from rowloom.operators import ordered, ordering
 from rowloom.operators.ordering import with_row_index
 
 
@@ -77,3 +78,22 @@ def test_exact_p_by_all_orders():
             share = sum(c <= few or c >= top - few for c in counts) / len(counts)
             assert ordered._exact_kendall_p(n, few) == pytest.approx(min(1.0, share))
     assert ordered._exact_kendall_p(200, 1) == pytest.approx(0.0, abs=1e-300)
+
+
+def test_pairs_are_written_narrow(spark, monkeypatch):
+    """Every pair is written once a numbering, with no more than later steps read; the tables go in the end."""
+    written, kept = [], ordering.materialize
+
+    def noted(df):
+        out = kept(df)
+        written.append((df.columns, out._written_to))
+        return out
+
+    df = with_row_index(spark.range(40).select("id", (F.col("id") * 7 % 11).alias("v")), ["id"], ["v"])
+    assert df.columns == ["_row_index", "v"] and [r["v"] for r in df.orderBy("_row_index").collect()] == [i * 7 % 11 for i in range(40)]
+    monkeypatch.setattr(ordering, "materialize", noted)
+    table = ordered.kendall_lag_table(df, "v", 1, 2, block_rows=8).collect()
+    assert [c for c, _ in written] == [["lag", "a", "b", "__pos"], ["lag", "b", "p", "__pos"]]
+    assert not any(os.path.exists(path.removeprefix("file://")) for _, path in written)
+    for r in table:
+        assert r["tau"] == pytest.approx(by_pairs([i * 7 % 11 for i in range(40)], r["lag"])[1], abs=1e-12)
