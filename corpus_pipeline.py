@@ -77,7 +77,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document row."""
-    return bpe.encode_documents(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids")
+    return bpe.encode_documents(docs, tokenizer_path(), lasting=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bytes of chunks and their results that a Python worker keeps, about, and what an entry takes besides its characters.
-KEPT_BYTES = 128 << 20
-ENTRY_BYTES = 320
+KEPT_BYTES = 256 << 20
+ENTRY_BYTES = 240
 #: Pairs of tokens whose check a worker keeps.
 KEPT_PAIRS = 2_800_000
 NO_MERGE = (1 << 60, -1)
@@ -66,8 +67,15 @@ class Tokenizer:
         self.guessable = {t: i for t, i in self.vocab.items() if self.merge(self.start(t)) == [i]}
         self.known = np.zeros(0, np.int64)
         self.apart = np.zeros(0, bool)
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        # Ids in decimal and tokens, by id.
+        self.digits = [str(i) for i in range(max(self.names) + 1)]
+        self.shown = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of all kept results; those of a chunk are its ids, 32 bits each."""
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def start(self, word: str) -> list[int]:
@@ -187,8 +195,8 @@ class Tokenizer:
         words = dict(zip(words, self.encode_words(list(words))))
         for chunk, out in zip(chunks, parts):
             ids = [i for x in out for i in (words[x] if isinstance(x, str) else x)]
-            self.chunks[chunk] = kept = (len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids))
-            self.held += ENTRY_BYTES + len(chunk) + len(kept[1]) + len(kept[2])
+            self.chunks[chunk] = kept = array("i", ids).tobytes()
+            self.held += ENTRY_BYTES + len(chunk) + len(kept)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Per text: number of tokens, their ids joined by a space, and the decoded text (tokens joined by a space)."""
@@ -201,14 +209,14 @@ class Tokenizer:
         for chunk in set().union(*cut).difference(kept):
             if chunk in older:
                 kept[chunk] = was = older[chunk]
-                self.held += ENTRY_BYTES + len(chunk) + len(was[1]) + len(was[2])
+                self.held += ENTRY_BYTES + len(chunk) + len(was)
             else:
                 new.append(chunk)
         self.learn(new)
         out = []
         for chunks in cut:
-            found = [f for f in map(kept.__getitem__, chunks) if f[0]]
-            out.append((sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+            ids = array("i", b"".join(map(kept.__getitem__, chunks))).tolist()
+            out.append((len(ids), " ".join(map(self.digits.__getitem__, ids)), " ".join(map(self.shown.__getitem__, ids))))
         return out
 
 
@@ -218,10 +226,12 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lasting: bool = True) -> DataFrame:
     """(id_col, n_tokens, ids, decoded): ids in decimal joined by one space, and their decoding.
 
     ``path`` names the tokenizer file, at the same place on every executor.
+    Unless ``lasting``, a worker lets its kept results go after each task, so
+    other work that it does next has the memory.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -233,6 +243,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 rows = t.encode([x or "" for x in part["text"].to_pylist()])
                 columns = [part["id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"])
+        if not lasting:
+            t.forget()
 
     plain = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return plain.mapInArrow(work, f"id {kind}, n_tokens bigint, ids string, decoded string").withColumnRenamed("id", id_col)

@@ -174,3 +174,16 @@ def test_junk_goes_and_clean_texts_stay(spark):
 
 def test_tokenizer_file_is_not_copied():
     assert not os.path.abspath(tokenizer_path()).startswith(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))) + os.sep)
+
+
+def test_kept_results_are_small_and_can_go(spark):
+    t = bpe.Tokenizer(tokenizer_path())
+    first = t.encode(["one two three", "", "two 3,14 two"])
+    assert t.chunks and all(isinstance(v, bytes) and len(v) % 4 == 0 for v in t.chunks.values())
+    assert len(t.chunks["two"]) == 4 and first[1] == (0, "", "")
+    t.forget()
+    assert not t.chunks and not t.older and t.held == 0
+    assert t.encode(["one two three", "", "two 3,14 two"]) == first
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in bpe.encode_documents(docs, tokenizer_path(), lasting=False).collect()}
+    assert rows == {1: first[0][:2], 2: (0, "")}
