@@ -37,7 +37,7 @@ from rowloom.llm import textnum as T
 from rowloom.llm.components import components
 from rowloom.session import discard, materialize, scratch
 
-PIECE = 1 << 20
+PIECE = 256 << 10
 #: Size of the frequency sketch: counters, as a power of two, and counters in a row.
 SKETCH_BITS = 22
 BLOCK = 1 << 15

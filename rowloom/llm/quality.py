@@ -28,7 +28,7 @@ from rowloom.session import materialize
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
-PIECE = 2 << 20
+PIECE = 256 << 10
 REPEAT = 5
 
 #: Statistic, and the least standard deviation that it is given.

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -148,3 +149,20 @@ def test_cut_documents_are_handed_back_in_small_batches(monkeypatch):
     assert [(r["id"], r["n_units"], r["n_removed"], r["kept"]) for r in rows] == [
         (i, 4, 2 * (i % 2), f"w{i} d".encode() if i % 2 else f"w{i} b c d".encode()) for i in range(n)
     ]
+
+
+def test_windows_of_large_batches_are_looked_at_in_small_pieces():
+    """What a worker holds does not grow with its batch: not 140 bytes for each byte of two megabytes."""
+    docs = type("Docs", (), {"schema": T.StructType([T.StructField("id", T.LongType())]), "mapInArrow": lambda self, work, ddl: work})()
+    work = repeats.runs_of(docs, repeats.Unit(False, 200, 32))
+    pick = random.Random(3)
+    texts = [pick.randbytes(1000).hex() for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(texts)], ["id", "th", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(len(set(b["id"].to_pylist())) for b in work(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000
+    assert peak < 100 << 20
