@@ -32,6 +32,8 @@ KEPT_BYTES = 256 << 20
 ENTRY_BYTES = 240
 #: Pairs of tokens whose check a worker keeps.
 KEPT_PAIRS = 2_800_000
+#: Texts that are encoded and handed back at once.
+TEXTS = 100
 NO_MERGE = (1 << 60, -1)
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -238,13 +240,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
                 rows = t.encode([x or "" for x in part["text"].to_pylist()])
                 columns = [part["id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"])
         if not lasting:
             t.forget()
+            pa.default_memory_pool().release_unused()
 
     plain = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return plain.mapInArrow(work, f"id {kind}, n_tokens bigint, ids string, decoded string").withColumnRenamed("id", id_col)

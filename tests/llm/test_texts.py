@@ -4,7 +4,9 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from rowloom.llm import bpe, htmltree, langid, quality
 from rowloom.llm.queries import tokenizer_path
@@ -187,3 +189,16 @@ def test_kept_results_are_small_and_can_go(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in bpe.encode_documents(docs, tokenizer_path(), lasting=False).collect()}
     assert rows == {1: first[0][:2], 2: (0, "")}
+
+
+def test_texts_are_encoded_in_small_parts():
+    """A worker has the chunks, ids and tokens of few texts in memory at once."""
+    docs = type("Docs", (), {"schema": T.StructType([T.StructField("doc_id", T.LongType())]), "selectExpr": lambda self, *c: self})()
+    docs.mapInArrow = lambda work, ddl: type("Rows", (), {"withColumnRenamed": lambda self, a, b: work})()
+    texts = [None if i % 7 == 0 else f"Some text {i}, über {i % 3}" for i in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(450)), pa.array(texts)], ["id", "text"])
+    out = list(bpe.encode_documents(docs, tokenizer_path(), lasting=False)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 100
+    alone = bpe.Tokenizer(tokenizer_path())
+    rows = [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()]
+    assert rows == [(i, *alone.encode([t or ""])[0]) for i, t in enumerate(texts)]
