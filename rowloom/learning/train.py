@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.correlation import pair_correlations
 from rowloom.functions.guards import ParameterError, data_columns, is_number, number, quoted, require, type_of
+from rowloom.learning.cells import fit_by_cells
 from rowloom.learning.features import MAX_CATEGORIES, clean_target, feature_pipeline, split
 from rowloom.learning.metrics import classification_metrics, davies_bouldin, regression_metrics
 
@@ -159,8 +160,10 @@ def train(
     estimator = build(params or {}, n, classes)
     prepared = Pipeline(stages=stages).fit(train_rows)
     ready = prepared.transform(spread(train_rows)).select("features", "label")
-    fit = estimator.fit(ready)
-    model = PipelineModel(stages=[s for s in prepared.stages if s is not (fitted if classes else None)] + [fit])
+    by_cells = fit_by_cells(estimator, prepared, train_rows, n) if isinstance(estimator, GBTRegressor) else None
+    last = by_cells or [estimator.fit(ready)]
+    fit = last[-1]
+    model = PipelineModel(stages=[s for s in prepared.stages if s is not (fitted if classes else None)] + last)
     labelled = prepared.stages[0].transform(test_rows) if classes else test_rows
     predictions = model.transform(labelled)
     if classes:
